@@ -53,6 +53,6 @@ LEFT JOIN parts USING (entity_id) LEFT JOIN amounts USING (entity_id)
 
 @REGISTRY.query("p4_found", P4_SQL)
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "statements").where(F.col("schema") == "Payment")
+    rows = table(spark, sf_dir, "statements").where(F.lower(squeeze(F.col("schema"))) == "payment")
     wide = attributes_to_columns(rows, PAYMENT, latest=["last_seen", "id"])
     return wide.select("entity_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("payer", "beneficiary", "pay_date")], F.coalesce("amount_cents", F.lit(-1).cast("long")).alias("amount_cents"))
