@@ -7,11 +7,48 @@ from pyspark.sql import DataFrame, SparkSession
 from knotwork.llm.distinctive import leading_terms
 from knotwork.llm.frequency import marked_terms
 from knotwork.llm.groups import consolidate
+from knotwork.llm.survivors import Bundle, Dependency, survivors
 from knotwork.plans.registry import Registry
 from knotwork.sources.tables import table
 
 REGISTRY = Registry()
 
+_FIELDS = ("birthDate", "birthPlace", "incorporationDate", "address", "registrationNumber", "legalForm")
+
+P1_SQL = r"""
+WITH g AS (SELECT canonical_id FROM statements WHERE canonical_id IS NOT NULL AND entity_id IS NOT NULL AND id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT entity_id) > 1
+), s AS (
+  SELECT canonical_id, prop, id, value, coalesce(trust, 0) AS trust, coalesce(last_seen, TIMESTAMP '0001-01-01') AS seen, trim(value) AS v
+  FROM statements JOIN g USING (canonical_id) LEFT JOIN datasets ON name = dataset
+  WHERE prop IN ('birthDate', 'birthPlace', 'incorporationDate', 'address', 'registrationNumber', 'legalForm') AND id IS NOT NULL AND entity_id IS NOT NULL
+), d AS (SELECT canonical_id, prop FROM s GROUP BY ALL HAVING count(DISTINCT value) > 1
+), r AS (
+  SELECT s.*, CASE
+      WHEN prop IN ('birthDate', 'incorporationDate') THEN CASE WHEN regexp_matches(v, '^\d{4}-\d\d-\d\d$|^\d\d\.\d\d\.\d{4}$') THEN 3 WHEN regexp_matches(v, '^\d{4}-\d\d$') THEN 2 ELSE 1 END
+      WHEN prop = 'address' THEN len(regexp_extract_all(v, '\d+')) + len(list_filter(string_split(v, ','), lambda x: regexp_matches(x, '\pL')))
+      WHEN prop = 'birthPlace' THEN len(list_filter(string_split(v, ','), lambda x: regexp_matches(x, '\pL')))
+      WHEN prop = 'registrationNumber' THEN CASE WHEN regexp_matches(v, '[*]|\.\.') THEN len(regexp_replace(v, '\D', '', 'g')) ELSE 15 END
+      ELSE 1 END AS info
+  FROM s JOIN d USING (canonical_id, prop)
+  WHERE lower(v) NOT IN ('', '-', '?', '??', '00', 'n/a', 'n.n.', 'k. a.', 'tba', 'xxx', 'unknown', 'none given', 'not stated', 'нет данных') AND regexp_matches(v, '[\pL\pN]')
+)
+SELECT canonical_id, prop, arg_max(id, (trust, seen, info, id)) AS statement_id FROM r GROUP BY ALL
+"""
+
+
+@REGISTRY.query("p1_found", P1_SQL)
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = survivors(table(spark, sf_dir, "statements"), table(spark, sf_dir, "datasets"), [Bundle(p, (p,)) for p in _FIELDS])
+    return found.select("canonical_id", "prop", "statement_id")
+
+
+@REGISTRY.query("p1_bundles")
+def p1_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden records whose registration and form, and whose birth date and place, stay together."""
+    bundles = [Bundle("birth", ("birthDate", "birthPlace")), Bundle("registration", ("registrationNumber", "incorporationDate")), Bundle("form", ("legalForm",)), Bundle("seat", ("address",))]
+    found = survivors(table(spark, sf_dir, "statements"), table(spark, sf_dir, "datasets"), bundles, [Dependency("registration", "form"), Dependency("registration", "seat")], differing_only=False)
+    return found.select("canonical_id", "bundle", "prop", "statement_id")
+
 _TERMS = r"""
 WITH term AS (
   SELECT id, tok, sum(c) AS c FROM (
