@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from knotwork.llm.distinctive import leading_terms
 from knotwork.llm.frequency import marked_terms
 from knotwork.llm.groups import consolidate
+from knotwork.llm.leaks import leaks
+from knotwork.llm.sentences import sentence_units
 from knotwork.llm.survivors import Bundle, Dependency, survivors
 from knotwork.plans.registry import Registry
 from knotwork.sources.tables import table
@@ -95,5 +97,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(table(spark, sf_dir, "resolver"))
 
 
+@REGISTRY.query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+@REGISTRY.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
 def registries() -> list[Registry]:
     return [REGISTRY]
