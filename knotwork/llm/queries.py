@@ -9,6 +9,7 @@ from knotwork.llm.frequency import marked_terms
 from knotwork.llm.groups import consolidate
 from knotwork.llm.leaks import leaks
 from knotwork.llm.sentences import sentence_units
+from knotwork.llm.spellings import variant_pairs
 from knotwork.llm.survivors import Bundle, Dependency, survivors
 from knotwork.plans.registry import Registry
 from knotwork.sources.tables import table
@@ -97,6 +98,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(table(spark, sf_dir, "resolver"))
 
 
+@REGISTRY.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_pairs(table(spark, sf_dir, "statements"), table(spark, sf_dir, "datasets"))
+
+
 @REGISTRY.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")

@@ -80,6 +80,7 @@ def rule(text: str, left: int, right: int, places: set[str]) -> bool:
     if term.startswith(".)"):
         return bool(gap) or _upper(nxt)
     word = word if re.fullmatch(r"(\w\.)*\w|[\d.,\s]+|\S*@\S*|www\S*", word) else word.rsplit(".", 1)[-1]
+    word = re.split(r"['’]", word)[-1] if re.search(r"\w['’]\w", word) else word
     low = word.lower()
     single = len(word) == 1 and word.isalpha()
     script_next = nxt.isalpha() and not (nxt.isupper() or nxt.islower())
@@ -112,7 +113,7 @@ def spaced_rule(text: str, left: int, right: int, places: set[str]) -> bool:
     nxt = text[right:]
     if nxt.startswith(STARTS):
         return True
-    if SPACED.match(nxt):
+    if SPACED.match(nxt) or nxt[:1].isdigit():
         return False
     stop = SPACED.search(text, right)
     if not stop or not text.startswith(VERBS, stop.start()) or "\n\n" in text[right : stop.start()]:
