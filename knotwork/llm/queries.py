@@ -8,6 +8,7 @@ from knotwork.llm.distinctive import leading_terms
 from knotwork.llm.frequency import marked_terms
 from knotwork.llm.groups import consolidate
 from knotwork.llm.leaks import leaks
+from knotwork.llm.linkage import link
 from knotwork.llm.sentences import sentence_units
 from knotwork.llm.spellings import variant_pairs
 from knotwork.llm.survivors import Bundle, Dependency, survivors
@@ -98,6 +99,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(table(spark, sf_dir, "resolver"))
 
 
+@REGISTRY.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = link(table(spark, sf_dir, "statements"), table(spark, sf_dir, "datasets"))
+    return found.where("confidence >= 0.5").select("left_id", "right_id")
+
+
+@REGISTRY.query("p2_confidences")
+def p2_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs with their confidence."""
+    return link(table(spark, sf_dir, "statements"), table(spark, sf_dir, "datasets"))
+
+
 @REGISTRY.query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "statements"), table(spark, sf_dir, "datasets"))
