@@ -9,6 +9,7 @@ from knotwork.llm.frequency import marked_terms
 from knotwork.llm.groups import consolidate
 from knotwork.llm.leaks import leaks
 from knotwork.llm.linkage import link
+from knotwork.llm.mixture import mixture, shares
 from knotwork.llm.sentences import sentence_units
 from knotwork.llm.spellings import variant_pairs
 from knotwork.llm.survivors import Bundle, Dependency, survivors
@@ -121,6 +122,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+@REGISTRY.query("p9_mixture")
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@REGISTRY.query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return shares(mixture(table(spark, sf_dir, "documents"), targets), targets)
+
+
 @REGISTRY.query("p10_found")
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
