@@ -232,7 +232,8 @@ def candidates(known: DataFrame, w: Weights) -> DataFrame:
     pull and target: summed weight of the rules for the match and the degree they ask for; push: weight against it.
     """
     blocks = known.select("e", "keys").mapInArrow(_blocks, "e binary, block string").select("e", F.xxhash64("block").alias("h"))
-    met = blocks.withColumnRenamed("e", "a").join(blocks.withColumnRenamed("e", "b"), "h").where("a < b").select("a", "b").distinct()
+    # the optimiser takes the blocks for as small as the records, so it must not broadcast them
+    met = blocks.withColumnRenamed("e", "a").join(blocks.withColumnRenamed("e", "b").hint("merge"), "h").where("a < b").select("a", "b").distinct()
     left = known.select(F.col("e").alias("a"), F.col("keys").alias("ka"), F.col("dataset").alias("da"))
     right = known.select(F.col("e").alias("b"), F.col("keys").alias("kb"), F.col("dataset").alias("db"))
     both = met.join(left, "a").join(right, "b").where("da <> db").select("a", "b", "ka", "kb", "da", "db")

@@ -72,11 +72,17 @@ def _distance(a, b):  # noqa: ANN001, ANN202
     return a.combine(b, lambda x, y: distance(x, y, COVER + RADIUS)).astype("int32")
 
 
+def _tasks(frame: DataFrame) -> int:
+    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), frame.sparkSession.sparkContext.defaultParallelism)
+
+
 def _near(left: DataFrame, right: DataFrame, most) -> DataFrame:
     """(kind, key, other, d) of keys of both tables that differ by at most ``most(shorter length)`` edits."""
     a = left.select("kind", "key").mapInArrow(_variants(most), "kind string, key string, h bigint")
     b = right.select("kind", "key").mapInArrow(_variants(most), "kind string, key string, h bigint").withColumnRenamed("key", "other")
-    met = a.join(b, ["kind", "h"]).select("kind", "key", "other").distinct()
+    # the optimiser takes the variants for as small as the keys, so it must not broadcast them
+    met = a.join(b.hint("merge"), ["kind", "h"]).select("kind", "key", "other").distinct()
+    met = met.repartition(_tasks(met))  # few bytes, much work: not to be gathered into few tasks
     return met.withColumn("d", F.when(F.col("key") == F.col("other"), F.lit(0)).otherwise(_distance("key", "other")))
 
 
