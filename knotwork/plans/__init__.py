@@ -6,7 +6,7 @@ import importlib
 
 from knotwork.plans.registry import Registry
 
-MODULES = ("wide",)
+MODULES = ("wide", "blocking")
 
 
 def core_registries() -> list[Registry]:
