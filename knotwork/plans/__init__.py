@@ -6,7 +6,7 @@ import importlib
 
 from knotwork.plans.registry import Registry
 
-MODULES = ("wide", "blocking")
+MODULES = ("wide", "blocking", "judgements")
 
 
 def core_registries() -> list[Registry]:
