@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions.text import squeeze
+from knotwork.operators.components import both_ways, label_components, simple_links
 from knotwork.session import Scratch
 
 
@@ -29,10 +30,6 @@ def live_links(decisions: DataFrame) -> DataFrame:
     return keyed.groupBy("a", "b").agg(F.max_by("judgement", F.struct("at", "judgement")).alias("judgement")).where(F.col("judgement") == "positive").select("a", "b")
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
-
-
 def components(links: DataFrame, peel_depth: int = 16) -> DataFrame:
     """(node, label) of every vertex of an undirected graph (a, b): vertices share a label exactly if linked.
 
@@ -40,8 +37,8 @@ def components(links: DataFrame, peel_depth: int = 16) -> DataFrame:
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "groups")
-    links = scratch.keep(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    top = _both_ways(links).groupBy("u").count().orderBy(F.desc("count"), "u").select("u").head()
+    links = scratch.keep(simple_links(links))
+    top = both_ways(links).groupBy("u").count().orderBy(F.desc("count"), "u").select("u").head()
     if top is None:
         return links.select(F.col("a").alias("node"), F.col("a").alias("label"))
 
@@ -49,7 +46,7 @@ def components(links: DataFrame, peel_depth: int = 16) -> DataFrame:
     reached = frontier = spark.createDataFrame([(top.u,)], "node string")
     ended = False
     for _ in range(peel_depth):
-        beyond = _both_ways(links).join(frontier, F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct()
+        beyond = both_ways(links).join(frontier, F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct()
         frontier = scratch.keep(beyond.join(reached, "node", "left_anti"))
         if not frontier.count():
             ended = True
@@ -63,31 +60,11 @@ def components(links: DataFrame, peel_depth: int = 16) -> DataFrame:
         marked = links
         for end in "ab":
             marked = marked.join(reached.select(F.col("node").alias(end), F.lit(True).alias(f"in_{end}")), end, "left")
-        rest = marked.select(at("a").alias("x"), at("b").alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        rest = marked.select(at("a").alias("a"), at("b").alias("b"))
     labels = reached.select("node", F.lit(top.u).alias("label"))
 
     # label what is left by minimum propagation over contracted links
-    rest = scratch.keep(rest)
-    mapping = None
-    for turn in range(10_000):
-        if not rest.count():
-            break
-        order = lambda v: F.struct(F.xxhash64(v, F.lit(turn)).alias("h"), F.col(v).alias("v"))  # noqa: B023, E731
-        least = _both_ways(rest).groupBy("u").agg(F.min(order("v")).alias("m"))
-        least = scratch.keep(least.select("u", F.least(F.col("m"), order("u"))["v"].alias("l")))
-        jump = scratch.keep(least.join(least.select(F.col("u").alias("l"), F.col("l").alias("to")), "l").select("u", F.col("to").alias("l")))
-        ends = rest
-        for end in "ab":
-            ends = ends.join(jump.select(F.col("u").alias(end), F.col("l").alias(f"l{end}")), end)
-        after = scratch.keep(ends.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
-        if mapping is None:
-            mapped = scratch.keep(jump.select(F.col("u").alias("node"), F.col("l").alias("label")))
-        else:
-            mapped = scratch.keep(mapping.join(jump.select(F.col("u").alias("label"), "l"), "label", "left").select("node", F.coalesce("l", "label").alias("label")))
-        scratch.drop(rest, least, jump, mapping)
-        rest, mapping = after, mapped
-    if mapping is None:
-        return labels
+    mapping = label_components(rest)
     if ended:
         return labels.unionByName(mapping)
     moved = mapping.where(F.col("node") == top.u).select("label").head()
