@@ -6,7 +6,7 @@ import importlib
 
 from knotwork.plans.registry import Registry
 
-MODULES = ("wide", "blocking", "judgements")
+MODULES = ("wide", "blocking", "judgements", "statements")
 
 
 def core_registries() -> list[Registry]:

@@ -41,7 +41,7 @@ def write_statements(statements: DataFrame, path: str, fmt: str = "parquet") ->
     rows = statements.select(*STATEMENT.names)
     writer = rows.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').option("quoteAll", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+        writer.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     elif fmt == "json":
         writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("ignoreNullFields", False).json(path)
     else:
@@ -53,7 +53,7 @@ def read_statements(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
         raise ValueError(f"unknown format {fmt}")
     reader = spark.read.schema(STATEMENT)
     if fmt == "csv":
-        return reader.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').option("multiLine", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+        return reader.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     if fmt == "json":
         return reader.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
     return reader.parquet(path)
