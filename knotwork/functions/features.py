@@ -121,7 +121,7 @@ def object_names(q: Column, r: Column) -> Column:
 #: Legal forms and their common short form. Fixed values.
 FORMS = {
     "aktiengesellschaft": "ag", "gesellschaft mbh": "gmbh", "g m b h": "gmbh", "incorporated": "inc", "limited liability company": "llc", "l l c": "llc", "limited": "ltd", "besloten vennootschap": "bv", "b v": "bv",
-    "société anonyme": "sa", "s a": "sa", "o o o": "ooo", "a g": "ag",
+    "societe anonyme": "sa", "s a": "sa", "o o o": "ooo", "a g": "ag",
 }
 
 
@@ -138,7 +138,7 @@ def name_fingerprint_levenshtein(q: Column, r: Column) -> Column:
     b = S.nonempty(F.transform(names(r), fingerprint))
     joined = lambda v: F.replace(v, F.lit(" "), F.lit(""))
     ordered = lambda v: F.array_join(F.array_sort(F.split(v, " ")), "")
-    best = F.greatest(S.best_pair(names(q), names(r), S.levenshtein_ratio), S.best_pair(F.transform(a, joined), F.transform(b, joined), S.levenshtein_ratio), S.best_pair(F.transform(a, ordered), F.transform(b, ordered), S.levenshtein_ratio))
+    best = F.greatest(S.best_pair(S.clean_set(names(q)), S.clean_set(names(r)), S.levenshtein_ratio), S.best_pair(F.transform(a, joined), F.transform(b, joined), S.levenshtein_ratio), S.best_pair(F.transform(a, ordered), F.transform(b, ordered), S.levenshtein_ratio))
     return F.when(either(q, r, "Person"), 0.0).otherwise(best)
 
 

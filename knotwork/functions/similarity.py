@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Letters and the plain letters they are compared as, one for one. Fixed values.
+LETTERS = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžčćđłßабвгдежзийклмнопрстуфхцчшщъыьэюяё"
+PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyszccdlsabvgdejziiklmnoprstufhccssqyqeuae"
+
+
 def clean(value: Column) -> Column:
-    """Lower case, letters and digits only, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(value), r"[^\p{L}\p{N}]+", " "))
+    """Lower case, plain letters and digits only, single spaces."""
+    plain = F.translate(F.regexp_replace(F.lower(value), r"\p{M}+", ""), LETTERS, PLAIN)
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 
 def light(value: Column) -> Column:

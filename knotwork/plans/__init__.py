@@ -6,7 +6,7 @@ import importlib
 
 from knotwork.plans.registry import Registry
 
-MODULES = ("wide", "blocking", "judgements", "statements")
+MODULES = ("wide", "blocking", "judgements", "statements", "matching")
 
 
 def core_registries() -> list[Registry]:
