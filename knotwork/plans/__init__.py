@@ -6,7 +6,7 @@ import importlib
 
 from knotwork.plans.registry import Registry
 
-MODULES = ("wide", "blocking", "judgements", "statements", "matching", "training")
+MODULES = ("wide", "blocking", "judgements", "statements", "matching", "training", "enrich")
 
 
 def core_registries() -> list[Registry]:
