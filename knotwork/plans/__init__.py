@@ -6,7 +6,7 @@ import importlib
 
 from knotwork.plans.registry import Registry
 
-MODULES = ("wide", "blocking", "judgements", "statements", "matching", "training", "enrich")
+MODULES = ("wide", "blocking", "judgements", "statements", "matching", "training", "enrich", "streaming")
 
 
 def core_registries() -> list[Registry]:
