@@ -32,6 +32,8 @@ _GAP = re.compile(r"\s+")
 _LIST = re.compile(r"[ \t]*(?:[-–—•*▪◦‣·][ \t]+|\(?(?:\d{1,2}|[A-Za-z])\)[ \t]+)")
 _WORD = re.compile(r"\S+")
 
+#: Characters on either side that features look at, so that work is linear in texts without spaces.
+REACH = 64
 #: States of a point before decoding.
 FREE, INSIDE, BOUNDARY = 0, 1, 2
 
@@ -86,11 +88,15 @@ def points(text: str) -> list[tuple[int, int, int]]:
         after = text[m.end() : m.end() + 1]
         if not (m[0] == "." and (after.isdigit() or after.islower() or after in ",)") and after):
             add(m.end(), FREE)
-    for m in re.finditer(r"[^\S\n]*\n\s*", text):
-        start = text.rfind("\n", 0, m.start()) + 1
+    start = 0
+    for m in re.finditer(r"\n\s*", text):
+        left = m.start()
+        while left > start and text[left - 1].isspace():
+            left -= 1
         blank = m[0].count("\n") > 1
         listed = _LIST.match(text, m.end()) or _LIST.match(text, start)
-        add(m.start(), BOUNDARY if blank or listed else FREE)
+        add(left, BOUNDARY if blank or listed else FREE)
+        start = m.end()
     for line in re.finditer(r"[^\n]+", text):
         if SPACED.search(line[0]):
             for m in re.finditer(r"(?<=\S)[^\S\n]+(?=\S)", line[0]):
@@ -138,7 +144,8 @@ def _plain(word: str) -> str:
 
 def features(text: str, left: int, right: int) -> list[str]:
     """Names of the features that hold at a point."""
-    a = max(text.rfind(" ", 0, left), text.rfind("\n", 0, left), text.rfind(" ", 0, left)) + 1
+    low = max(0, left - REACH)
+    a = max(low - 1, text.rfind(" ", low, left), text.rfind("\n", low, left), text.rfind("\xa0", low, left)) + 1
     whole = text[a:left]
     mark = re.search(rf"[{re.escape(TERMINATORS)}][{re.escape(TERMINATORS + CLOSERS)}\s]*$", text[max(a, left - 8) : left])
     term = re.sub(r"\s", "", mark[0]) if mark else ""
@@ -148,7 +155,7 @@ def features(text: str, left: int, right: int) -> list[str]:
     prior = _plain(before_body[-1]) if before_body else "^"
     gap = text[left:right]
     space = "nl" if "\n" in gap else "sp" if gap else "no"
-    word = _WORD.match(text, right)
+    word = _WORD.match(text, right, right + REACH)
     nxt = word[0] if word else ""
     k = _kind(nxt[:1])
     inner = _kind(nxt[1:2]) if nxt[:1] in "(\"«„“「¿¡" else ""
@@ -171,7 +178,7 @@ def features(text: str, left: int, right: int) -> list[str]:
         tail = re.search(r"[^฀-๿]*$", whole)[0]
         glued = len(tail) < len(whole)
         lead = re.match(r"[฀-๿]*", nxt)[0]
-        stop = SPACED.search(text, right)
+        stop = SPACED.search(text, right, right + 2 * REACH)
         ahead = text[right : stop.start()] if stop else text[right : right + 60]
         verb = text[stop.start() : stop.start() + 4] if stop else ""
         head = re.sub(r"[^฀-๿]+$", "", whole)[-5:]

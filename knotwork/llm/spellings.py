@@ -26,6 +26,8 @@ from knotwork.llm.names import GIVEN, distance, parse, skeleton
 from knotwork.session import Scratch
 
 COVER, RADIUS = 1, 2
+#: Words from this length on are also met by runs of so many letters.
+LONG, RUN = 28, 5
 
 
 def radius_of(length: int) -> int:
@@ -34,10 +36,17 @@ def radius_of(length: int) -> int:
 
 
 def deletions(word: str, most: int) -> set[int]:
-    """Hashes of the strings left after at most so many deletions."""
+    """Hashes that two words within the edits have in common: of what is left after at most so many deletions.
+
+    Long words would leave too many strings; of those, runs of ``RUN`` letters are hashed, one of which three edits must
+    leave whole. Words of a length in between have both.
+    """
     out = {word}
-    for k in range(1, min(most, max(0, len(word) - 2)) + 1):
-        out.update("".join(c) for c in combinations(word, len(word) - k))
+    if len(word) <= LONG + 2 * (COVER + RADIUS):
+        for k in range(1, min(most, max(0, len(word) - 2)) + 1):
+            out.update("".join(c) for c in combinations(word, len(word) - k))
+    if len(word) >= LONG:
+        out.update(word[i : i + RUN] for i in range(len(word) - RUN + 1))
     return {xxhash.xxh64_intdigest(s) - 2**63 for s in out}
 
 
