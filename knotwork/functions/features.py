@@ -294,7 +294,11 @@ def format_match(fmt: str) -> Feature:
 
 def _strong(e: Column) -> Column:
     props = [(n, p.format) for n, p in PROPERTIES.items() if p.format in STRONG_FORMATS]
-    return F.flatten(F.array(*[F.transform(values(e, n), lambda v, f=f: F.concat(F.lit(f + ":"), v)) for n, f in props]))
+    return F.flatten(F.array(*[F.transform(values(e, n), _tagged(f)) for n, f in props]))
+
+
+def _tagged(fmt: str) -> Callable[[Column], Column]:
+    return lambda value: F.concat(F.lit(f"{fmt}:"), value)
 
 
 def _weak(e: Column) -> Column:
