@@ -28,24 +28,24 @@ def label_components(links: DataFrame) -> DataFrame:
     many links is split by the adaptive skew join. An empty graph gives no rows.
     """
     scratch = Scratch(links.sparkSession, "components")
-    rest = scratch.keep(simple_links(links))
+    rest, left = scratch.keep_counted(simple_links(links))
     mapping: DataFrame | None = None
     turn = 0
-    while rest.limit(1).count():
+    while left:
         order = _order(turn)
         least = both_ways(rest).groupBy("u").agg(F.min(order("v")).alias("m"))
-        least = scratch.keep(least.select("u", F.least(F.col("m"), order("u"))["v"].alias("l")))
+        least = least.select("u", F.least(F.col("m"), order("u"))["v"].alias("l"))
         jump = scratch.keep(least.join(least.select(F.col("u").alias("l"), F.col("l").alias("to")), "l").select("u", F.col("to").alias("l")))
         ends = rest
         for end in "ab":
             ends = ends.join(jump.select(F.col("u").alias(end), F.col("l").alias(f"l{end}")), end)
-        after = scratch.keep(simple_links(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
+        after, left = scratch.keep_counted(simple_links(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))))
         if mapping is None:
             mapped = scratch.keep(jump.select(F.col("u").alias("node"), F.col("l").alias("label")))
         else:
             moved = jump.select(F.col("u").alias("label"), "l")
             mapped = scratch.keep(mapping.join(moved, "label", "left").select("node", F.coalesce("l", "label").alias("label")))
-        scratch.drop(rest, least, jump, mapping)
+        scratch.drop(rest, jump, mapping)
         rest, mapping, turn = after, mapped, turn + 1
     return mapping if mapping is not None else rest.select(F.col("a").alias("node"), F.col("a").alias("label"))
 

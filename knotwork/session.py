@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SHARED_DIR = "spark.checkpoint.dir"
 _own_dir: str | None = None
@@ -57,6 +58,12 @@ class Scratch:
         kept._knotwork_path = path  # type: ignore[attr-defined]
         return kept
 
+    def keep_counted(self, frame: DataFrame) -> tuple[DataFrame, int]:
+        """As ``keep``, with the number of rows, counted while they are written."""
+        seen = Observation()
+        kept = self.keep(frame.observe(seen, F.count(F.lit(1)).alias("n")))
+        return kept, int(seen.get["n"])
+
     def drop(self, *frames: DataFrame | None) -> None:
         for frame in frames:
             path = getattr(frame, "_knotwork_path", None)
