@@ -47,8 +47,8 @@ def components(links: DataFrame, peel_depth: int = 16) -> DataFrame:
     ended = False
     for _ in range(peel_depth):
         beyond = both_ways(links).join(frontier, F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct()
-        frontier = scratch.keep(beyond.join(reached, "node", "left_anti"))
-        if not frontier.count():
+        frontier, fresh = scratch.keep_counted(beyond.join(reached, "node", "left_anti"))
+        if not fresh:
             ended = True
             break
         reached = reached.unionByName(frontier)
