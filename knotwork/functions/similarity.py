@@ -285,6 +285,75 @@ def _phonetic_score(left: list[str], right: list[str]) -> float:
     return best
 
 
+#: Classes of legal forms; words of one class stand for each other. Fixed values.
+ORG_CLASSES = {
+    "ltd": "llc", "limited": "llc", "llc": "llc", "gmbh": "llc", "bv": "llc", "ooo": "llc", "sarl": "llc", "inc": "corp", "incorporated": "corp", "corp": "corp", "corporation": "corp", "ag": "corp", "sa": "corp",
+    "aktiengesellschaft": "corp", "company": "co", "co": "co",
+}
+#: Weight of a pair of words by its kind, and of words without partner on either side. Fixed values.
+WORD_WEIGHTS = {"class": 0.7, "initial": 0.5, "number": 1.3, "word": 1.0}
+WORD_SCORES = {"class": 0.8, "initial": 0.9, "number": 1.0}
+EXTRA_QUERY, EXTRA_RESULT = 0.8, 0.2
+
+
+def _word_kind(word: str) -> str:
+    return "class" if word in ORG_CLASSES else "initial" if len(word) == 1 and word.isalpha() else "number" if word.isdigit() else "word"
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def _word_pair(a: str, b: str) -> tuple[float, str]:
+    """(score, kind) of two words."""
+    ka, kb = _word_kind(a), _word_kind(b)
+    if ka == kb == "class":
+        return (1.0 if a == b else WORD_SCORES["class"] if ORG_CLASSES[a] == ORG_CLASSES[b] else 0.0), "class"
+    if "number" in (ka, kb):
+        return (1.0 if a == b else 0.0), "number"
+    if "initial" in (ka, kb) and "class" not in (ka, kb):
+        return (1.0 if a == b else WORD_SCORES["initial"] if a[0] == b[0] else 0.0), "initial"
+    if "class" in (ka, kb):
+        return 0.0, "class"
+    longer = max(len(a), len(b))
+    allowed = longer // 4
+    edits = _edits(a, b) if abs(len(a) - len(b)) <= allowed else longer
+    return (1.0 if a == b else 0.0 if edits > allowed else (1 - edits / longer) ** allowed), "word"
+
+
+def aligned_score(left: list[str], right: list[str]) -> float:
+    """The best over all pairs of names of the weighted mean of their words' scores.
+
+    Each word is paired with one of the other side, best pairs first; legal forms count less, numbers more, an initial stands
+    for a word; words of the first without partner count nearly in full as misses, those of the second little.
+    """
+    best = 0.0
+    for x in left:
+        for y in right:
+            a, b = x.split(), y.split()
+            scored = sorted(((*_word_pair(p, o), i, j) for i, p in enumerate(a) for j, o in enumerate(b)), key=lambda t: (-t[0], t[2], t[3]))
+            used_a: set[int] = set()
+            used_b: set[int] = set()
+            total = weight = 0.0
+            for score, kind, i, j in scored:
+                if score > 0 and i not in used_a and j not in used_b:
+                    used_a.add(i)
+                    used_b.add(j)
+                    total += score * WORD_WEIGHTS[kind]
+                    weight += WORD_WEIGHTS[kind]
+            weight += sum(EXTRA_QUERY * WORD_WEIGHTS[_word_kind(w)] for i, w in enumerate(a) if i not in used_a)
+            weight += sum(EXTRA_RESULT * WORD_WEIGHTS[_word_kind(w)] for j, w in enumerate(b) if j not in used_b)
+            if weight:
+                best = max(best, total / weight)
+    return best
+
+
+aligned_words = _pairs(aligned_score)
 jaro_parts = _pairs(_parts_score)
 whole_or_parts = _pairs(_whole_score)
 person_jaro = _pairs(_person_score)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -182,3 +183,68 @@ def nested_records(rows: DataFrame, column: str, schema: str, path: Callable[[Co
         at = at.select("root", F.explode(path(F.col("n"))).alias("child"), F.col("n.id").alias("parent"), F.lit(level).alias("depth")).select("root", F.col("child").alias("n"), "parent", "depth")
         out = out.unionByName(at.select("root", F.col("n.id").alias("node"), "parent", "depth"))
     return out.where("node IS NOT NULL")
+
+
+# answers of sources
+
+
+@dataclass(frozen=True)
+class Projection:
+    """How a source's JSON answer becomes an entity: the array of records in it, the id, and a path for each property."""
+
+    schema: str
+    prefix: str
+    id_path: str
+    fields: dict[str, str]
+    records: str = "$.results"
+
+
+#: Projections of the kinds of answers that registers give. Fixed values.
+PROJECTIONS = {
+    "company-register": Projection(
+        "Company", "oc", "$.company.company_number", {"name": "$.company.name", "jurisdiction": "$.company.jurisdiction_code", "registrationNumber": "$.company.company_number", "incorporationDate": "$.company.incorporation_date", "legalForm": "$.company.company_type"},
+        "$.results.companies",
+    ),
+    "securities": Projection("Security", "figi", "$.compositeFIGI", {"name": "$.name", "isin": "$.isin"}, "$.data"),
+    "organisations": Projection("Company", "permid", "$.organizationId", {"name": "$.organizationName", "leiCode": "$.lei", "country": "$.country"}, "$.organizations"),
+    "places": Projection("Address", "place", "$.place_id", {"full": "$.display_name", "country": "$.address.country_code"}, "$"),
+}
+
+
+def project(answers: DataFrame, projection: Projection) -> DataFrame:
+    """(key, id, schema, properties): entities of JSON answers (key, text); records without an id are left out.
+
+    A jurisdiction keeps its country part; empty values state nothing.
+    """
+    found = F.from_json(F.get_json_object("text", projection.records), "array<string>")
+    rows = answers.select("key", F.explode(found).alias("r"))
+    value = lambda p, path: F.substring_index(F.get_json_object("r", path), "_", 1) if p == "jurisdiction" else F.get_json_object("r", path)
+    props = F.create_map(*[x for p, path in projection.fields.items() for x in (F.lit(p), F.filter(F.array(value(p, path)), lambda v: v.isNotNull() & (v != "")))])
+    out = rows.select("key", F.get_json_object("r", projection.id_path).alias("i"), F.map_filter(props, lambda _, v: F.size(v) > 0).alias("properties"))
+    return out.where("i IS NOT NULL AND i <> ''").select("key", F.concat_ws("-", F.lit(projection.prefix), F.lower(F.regexp_replace("i", "[^A-Za-z0-9]+", "-"))).alias("id"), F.lit(projection.schema).alias("schema"), "properties")
+
+
+def summaries(items: DataFrame, texts: DataFrame, preferred: list[str], most: int = 5) -> DataFrame:
+    """(id, lang, text): lead texts (id, lang, text) of items, in the order of preferred languages, at most some of each.
+
+    Empty texts are stored answers without content and are left out.
+    """
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in preferred]), F.col("lang")), F.lit(0)), F.lit(len(preferred) + 1))
+    rows = texts.join(items.select("id").distinct(), "id", "left_semi").where("text IS NOT NULL AND text <> ''")
+    window = W.partitionBy("id").orderBy(rank, "lang", "text")
+    return rows.withColumn("k", F.row_number().over(window)).where(F.col("k") <= most).select("id", "lang", "text")
+
+
+def query_rows(entities: DataFrame, most: int = 999) -> DataFrame:
+    """(id, name, country): what a batch search is asked about an entity, names times countries, at most some rows each."""
+    names, countries = X.names(F.struct("properties")), X.countries(F.struct("properties"))
+    places = F.when(F.size(countries) > 0, countries).otherwise(F.array(F.lit(None).cast("string")))
+    both = F.flatten(F.transform(F.array_sort(names), lambda n: F.transform(F.array_sort(places), lambda c: F.struct(n.alias("name"), c.alias("country")))))
+    return entities.select("id", F.explode(F.slice(both, 1, most)).alias("q")).select("id", "q.name", "q.country")
+
+
+def conflict_report(conflicts: DataFrame, statements: DataFrame) -> DataFrame:
+    """(candidate, dataset, entity_id, prop, value, lang): the names behind conflicting matches, in reading order."""
+    ids = conflicts.select("candidate", F.explode(F.array("candidate", "left", "right")).alias("canonical_id")).distinct()
+    rows = statements.where(F.col("prop").isin("name", "alias")).join(ids, "canonical_id").select("candidate", "dataset", "entity_id", "prop", "value", "lang").distinct()
+    return rows.orderBy("candidate", "dataset", "entity_id", F.col("prop") != "name", "value", F.col("lang").isNotNull())

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.functions import features as X
@@ -105,11 +106,10 @@ LOGIC_V1 = Algorithm(
 
 
 def _consolidated_name(q: Column, r: Column) -> Column:
-    """Best of equal names, names of things, and words aligned by type of entity."""
-    people = F.greatest(X.name_literal_match(q, r), X.person_name_levenshtein(q, r), X.person_name_jaro_winkler(q, r))
-    firms = F.greatest(X.name_literal_match(q, r), X.name_fingerprint_levenshtein(q, r) * F.when(X.name_numbers(q, r) > 0, 0.7).otherwise(1.0))
+    """Best of equal names, words aligned by what they are, and names of things."""
+    words = F.greatest(X.name_literal_match(q, r), X.aligned_names(q, r))
     things = F.greatest(X.name_literal_match(q, r), X.object_names(q, r))
-    return F.when(X.either(q, r, "Person"), people).when(X.either(q, r, "LegalEntity"), firms).otherwise(things)
+    return F.when(X.either(q, r, "LegalEntity"), words).otherwise(things)
 
 
 LOGIC_V2 = Algorithm(
@@ -206,12 +206,14 @@ def xref(
     focus: list[str] | None = None,
     schema: str | None = None,
     heuristic: Callable[[Column], Column] | None = None,
+    patience: int | None = None,
 ) -> DataFrame:
     """(left, right, blocking_score, score, action): ranked candidates, filtered, scored, and what to do with each.
 
     Pairs are taken in order of their blocking score, up to ``limit`` times ``limit_factor``; undecided pairs of known,
     compatible entities remain; pairs from one dataset are discounted; ``heuristic`` may change a score or make it null,
-    which drops the pair. Up to ``limit`` pairs are suggested, those above ``auto_threshold`` merged. Merges of one batch
+    which drops the pair. With ``patience``, pairs after so many scored ones without a score that counts are left out. Up to
+    ``limit`` pairs are suggested, those above ``auto_threshold`` merged. Merges of one batch
     take effect together, after scoring; decisions of the batch do not change each other's scores.
     """
     from knotwork.operators import blocking as B
@@ -235,7 +237,15 @@ def xref(
     score = F.when(F.arrays_overlap(F.col("l.datasets"), F.col("r.datasets")), F.col("score") * internal_discount).otherwise(F.col("score"))
     if heuristic is not None:
         score = heuristic(score)
-    scored = scored.withColumn("score", score).where(F.col("score").isNotNull() & (F.col("score") >= min_threshold))
+    scored = scored.withColumn("score", score).where(F.col("score").isNotNull())
+    if patience is not None:
+        # at most ``limit * limit_factor`` rows
+        order = W.orderBy(F.desc("blocking_score"), "left", "right")
+        placed = scored.withColumn("place", F.row_number().over(order))
+        placed = placed.withColumn("last", F.max(F.when(F.col("score") >= min_threshold, F.col("place"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
+        over = F.max((F.col("place") - F.coalesce("last", F.lit(0)) > patience).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
+        scored = placed.withColumn("over", over).where("over = 0").drop("place", "last", "over")
+    scored = scored.where(F.col("score") >= min_threshold)
     action = F.lit("suggest") if auto_threshold is None else F.when(F.col("score") > auto_threshold, "merge").otherwise("suggest")
     out = scored.select("left", "right", "blocking_score", "score", action.alias("action"))
     merged = out.where("action = 'merge'")

@@ -169,6 +169,26 @@ def test_hierarchies_and_proposals(spark):
     assert {r.key: r.text for r in E.fetch_missing(keys, cache, lambda k: k.upper()).collect()} == {"a": "kept", "b": "B"}
 
 
+def test_answers_of_sources(spark):
+    text = json.dumps({"results": {"companies": [{"company": {"company_number": "12 A", "name": "Acme", "jurisdiction_code": "us_de", "company_type": ""}}, {"company": {"name": "no id"}}]}})
+    rows = spark.createDataFrame([("k", text), ("l", None), ("m", "broken")], "key string, text string")
+    got = E.project(rows, E.PROJECTIONS["company-register"]).collect()
+    assert [(r.key, r.id, r.properties) for r in got] == [("k", "oc-12-a", {"name": ["Acme"], "jurisdiction": ["us"], "registrationNumber": ["12 A"]})]
+    texts = spark.createDataFrame([("Q1", "en", "one"), ("Q1", "de", "eins"), ("Q1", "fr", ""), ("Q2", "en", "x")], "id string, lang string, text string")
+    items = spark.createDataFrame([("Q1",)], "id string")
+    assert [(r.lang, r.text) for r in E.summaries(items, texts, ["de", "en"], 1).collect()] == [("de", "eins")]
+    known = spark.createDataFrame([entity("a", "Person", name=["A", "B"], country=["us", "fr"]), entity("b", "Person", name="C")], formats.ENTITY)
+    assert len(E.query_rows(known).collect()) == 5 and len(E.query_rows(known, 1).collect()) == 2
+
+
+def test_aligned_words():
+    from knotwork.functions.similarity import aligned_score as score
+
+    assert score(["acme widgets ltd"], ["widgets acme limited"]) > 0.9 > score(["acme widgets ltd"], ["acme gadgets ltd"]) > 0.3
+    assert score(["j smith"], ["john smith"]) > 0.95 and score(["fund 7"], ["fund 8"]) < 0.6 and score([], ["x"]) == 0.0
+    assert score(["john smith"], ["john peter smith"]) > score(["john peter smith"], ["john smith"])
+
+
 def test_stream(spark, make_statements, tmp_path):
     rows = make_statements([("1", "a", "a", "name", "Person", "A", "x", "2020-01-01"), ("1", "a", "NK-1", "name", "Person", "A", "x", "2020-01-02"), ("2", "b", "b", "name", "Person", "B", "x", "2020-01-01")])
     source, table = f"file://{tmp_path}/in", f"file://{tmp_path}/table"
