@@ -78,3 +78,12 @@ def _sweep() -> None:
             _delete(spark, base)
         except Exception:  # noqa: BLE001  the session may have ended before the process
             pass
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as there are cores, for stages that compute much on few bytes.
+
+    Inputs with enough splits, as all large ones have, stay as they are.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
