@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from knotwork.session import Scratch
+from knotwork.session import Scratch, spread
 
 #: Where the vocabulary of a public tokenizer lies.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -112,7 +112,7 @@ def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, lang, tokens) of documents with a source and a text."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.where("source IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "source", language("lang").alias("lang"), "text")
-    return rows.mapInArrow(_counter(tokenizer), f"doc_id {kind}, source string, lang string, tokens bigint")
+    return spread(rows).mapInArrow(_counter(tokenizer), f"doc_id {kind}, source string, lang string, tokens bigint")
 
 
 def budgets(leaves: list[tuple[str, str, int]], targets: list[tuple[str, str, float, int]], total: float | None) -> dict[tuple[str, str], float]:

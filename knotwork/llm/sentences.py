@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.session import spread
+
 TERMINATORS = ".!?…。！？｡।॥؟;;؛"
 CLOSERS = "\"'”’“»›」』）)】〕]"
 OPENERS = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›"}
@@ -263,5 +265,6 @@ def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text"
             end = pa.array([z for found in spans for _, z in found], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(source), begin, end], names=["k", "begin_pos", "end_pos"])
 
-    out = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").mapInArrow(cut, f"k {kind.simpleString()}, begin_pos int, end_pos int")
+    rows = spread(documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL"))
+    out = rows.mapInArrow(cut, f"k {kind.simpleString()}, begin_pos int, end_pos int")
     return out.select(F.col("k").alias(key), "begin_pos", "end_pos")
