@@ -27,6 +27,11 @@ def rank(identifier: Column) -> Column:
     return F.struct(weight(identifier).alias("weight"), identifier.alias("id"))
 
 
+def order(identifier: Column) -> Column:
+    """The same order as one string, which is cheap to compare."""
+    return F.concat(weight(identifier).cast("string"), identifier)
+
+
 def is_canonical(identifier: Column) -> Column:
     return weight(identifier) > 1
 
@@ -39,7 +44,7 @@ def merge(left: Column, right: Column) -> Column:
 
 def paired(edges: DataFrame) -> DataFrame:
     """Edges with the greater end as target, judgements in lower case, without loops and repeated rows."""
-    swap = rank(F.col("source")) > rank(F.col("target"))
+    swap = order(F.col("source")) > order(F.col("target"))
     ends = edges.where(F.col("source") != F.col("target")).select(
         F.when(swap, F.col("source")).otherwise(F.col("target")).alias("target"),
         F.when(swap, F.col("target")).otherwise(F.col("source")).alias("source"),
@@ -138,7 +143,7 @@ def recent(edges: DataFrame, limit: int) -> DataFrame:
 
 def suggest(edges: DataFrame, scored: DataFrame, *, now: str, user: str) -> DataFrame:
     """The live edges after suggesting pairs (left, right, score): decided pairs stay, open ones get the score."""
-    swap = rank(F.col("left")) > rank(F.col("right"))
+    swap = order(F.col("left")) > order(F.col("right"))
     ends = scored.where("left <> right").select(F.when(swap, F.col("left")).otherwise(F.col("right")).alias("target"), F.when(swap, F.col("right")).otherwise(F.col("left")).alias("source"), F.col("score").alias("new"))
     fresh = ends.groupBy("target", "source").agg(F.max("new").alias("new"))
     joined = live(edges).join(fresh, ["target", "source"], "full")
@@ -169,7 +174,7 @@ def _write(edges: DataFrame, fresh: DataFrame, gone: DataFrame, now: str) -> Dat
 
 
 def _ends(left: Column, right: Column) -> list[Column]:
-    swap = rank(left) > rank(right)
+    swap = order(left) > order(right)
     return [F.when(swap, left).otherwise(right).alias("target"), F.when(swap, right).otherwise(left).alias("source")]
 
 
