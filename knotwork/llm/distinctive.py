@@ -35,7 +35,7 @@ def scored_terms(entries: DataFrame) -> DataFrame:
 
 
 def leading_terms(entries: DataFrame) -> DataFrame:
-    """(record_id, token, score): the best term of each record; equal scores: the greater count times idf, then the lesser token."""
-    order = F.struct(F.col("score"), (F.col("count") * F.col("idf")).alias("weight"))
-    best = scored_terms(entries).groupBy("key").agg(F.max(order).alias("top"), F.max_by("token", order).alias("token"))
-    return best.select(unpack(F.col("key")).alias("record_id"), "token", F.col("top.score").alias("score"))
+    """(record_id, token, score): the best term of each record; equal scores: the greater count times idf, then the greater token."""
+    order = F.struct(F.col("score"), (F.col("count") * F.col("idf")).alias("weight"), "token")
+    best = scored_terms(entries).groupBy("key").agg(F.max(order).alias("top"))
+    return best.select(unpack(F.col("key")).alias("record_id"), F.col("top.token").alias("token"), F.col("top.score").alias("score"))
