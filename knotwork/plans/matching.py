@@ -17,6 +17,8 @@ REGISTRY = Registry()
 
 _KINDS = ("Person", "Company", "Organization")
 _KIND_SQL = "('Person', 'Company', 'Organization')"
+#: Entities of one value that meet its other entities under one key.
+HOLDERS = 1000
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,14 +29,16 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(left, right): entities with one phone, mail address or address of more than ten characters in common.
 
-    Values that more than twenty entities have tell nothing and give no pairs.
+    Every value counts, however many entities have it: the holders of a value are dealt to salts of about ``HOLDERS``, so
+    that no key of the join has more than that many rows on the left.
     """
     rows = table(spark, sf_dir, "statements").where(F.col("schema").isin(*_KINDS) & F.col("prop").isin("phone", "email", "address") & (F.length("value") > 10))
     rows = rows.select("prop", "value", "entity_id").distinct()
-    few = rows.groupBy("prop", "value").count().where("count <= 20").select("prop", "value")
-    rows = rows.join(few, ["prop", "value"], "left_semi")
-    other = rows.withColumnRenamed("entity_id", "right")
-    return rows.withColumnRenamed("entity_id", "left").join(other, ["prop", "value"]).where("left < right").select("left", "right").distinct()
+    salts = F.ceil(F.col("count") / F.lit(HOLDERS)).cast("int")
+    rows = rows.join(rows.groupBy("prop", "value").count().where("count > 1"), ["prop", "value"]).select("prop", "value", "entity_id", salts.alias("salts"))
+    left = rows.select("prop", "value", F.col("entity_id").alias("left"), F.pmod(F.xxhash64("entity_id"), "salts").cast("int").alias("salt"))
+    right = rows.select("prop", "value", F.col("entity_id").alias("right"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["prop", "value", "salt"]).where("left < right").select("left", "right").distinct()
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
