@@ -284,8 +284,18 @@ def solve(pull: np.ndarray, target: np.ndarray, push: np.ndarray, groups: list[t
     return z
 
 
-def ground(a: list, b: list, da: list, db: list, w: Weights) -> list[tuple[float, list[int], list[float], float]]:
-    """Exclusivity and transitivity among the pairs of a block."""
+def ground(a: list, b: list, da: list, db: list, w: Weights, homes: tuple[list, list] | None = None, block: int | None = None) -> list[tuple[float, list[int], list[float], float]]:
+    """Exclusivity and transitivity among the pairs of a block, whatever the order of its rows.
+
+    homes: the blocks of the entities a and b. With them each rule is grounded in one block only: exclusivity in that of its
+    entity, a triangle in the block of two of its entities or, if all three differ, in the least.
+    """
+    home = {} if homes is None else {**dict(zip(a, homes[0], strict=True)), **dict(zip(b, homes[1], strict=True))}
+
+    def here(*entities) -> bool:  # noqa: ANN002
+        of = [home.get(e, block) for e in entities]
+        return block == (max(of, key=of.count) if len(set(of)) < len(of) else min(of))
+
     groups: list[tuple[float, list[int], list[float], float]] = []
     incident: dict = {}
     index = {}
@@ -293,8 +303,8 @@ def ground(a: list, b: list, da: list, db: list, w: Weights) -> list[tuple[float
         index[(x, y)] = v
         incident.setdefault(x, []).append((y, db[v], v))
         incident.setdefault(y, []).append((x, da[v], v))
-    for others in incident.values():
-        if len(others) < 2:
+    for entity, others in incident.items():
+        if len(others) < 2 or not here(entity):
             continue
         by_dataset: dict = {}
         for _, dataset, v in others:
@@ -307,7 +317,7 @@ def ground(a: list, b: list, da: list, db: list, w: Weights) -> list[tuple[float
         for other, _, second in incident[x]:
             if other != y:
                 third = index.get((y, other) if y < other else (other, y))
-                if third is not None and second < third:
+                if third is not None and here(x, y, other):
                     groups.append((w.transitive, [second, third, v], [1.0, 1.0, -1.0], -1.0))
     return groups
 
@@ -321,7 +331,8 @@ def _solver(w: Weights, step: float):
             groups: list[tuple[float, list[int], list[float], float]] = []
             for _, block in rows.groupby("block", sort=False):
                 base = block.index.to_numpy()
-                found = ground(block["a"].tolist(), block["b"].tolist(), block["da"].tolist(), block["db"].tolist(), w)
+                homes = (block["ba"].tolist(), block["bb"].tolist())
+                found = ground(block["a"].tolist(), block["b"].tolist(), block["da"].tolist(), block["db"].tolist(), w, homes, int(block["block"].iloc[0]))
                 groups += [(g[0], [int(base[v]) for v in g[1]], g[2], g[3]) for g in found]
             share = rows["copies"].to_numpy(float)
             z, u = rows["z"].to_numpy(float), rows["u"].to_numpy(float)
@@ -344,12 +355,29 @@ def _solver(w: Weights, step: float):
     return run
 
 
-def confidences(pairs: DataFrame, w: Weights | None = None, *, outer_rounds: int = 12, tolerance: float = 0.01, step: float = 4.0) -> DataFrame:
+def _closing(placed: DataFrame) -> DataFrame:
+    """(a, b, extra): pairs that close a triangle over three blocks, with the least of these where it is neither's.
+
+    Of the triangle's entities the one with the fewest links across blocks names its pairs, so hot entities make few.
+    """
+    links = placed.where("ba <> bb").select("a", "b", "ba", "bb")
+    ends = links.select(F.col("a").alias("e"), F.col("b").alias("f"), F.col("ba").alias("be"), F.col("bb").alias("bf"))
+    ends = ends.unionByName(links.select(F.col("b").alias("e"), F.col("a").alias("f"), F.col("bb").alias("be"), F.col("ba").alias("bf")))
+    degree = ends.groupBy("e").agg(F.count("*").alias("n"))
+    sized = ends.join(degree, "e").join(degree.select(F.col("e").alias("f"), F.col("n").alias("m")), "f")
+    away = sized.where("n < m OR (n = m AND e < f)").select("e", "f", "be", "bf")
+    wedges = away.join(away.select("e", F.col("f").alias("g"), F.col("bf").alias("bg")), "e").where("f < g AND bf <> bg")
+    closed = wedges.join(links.select(F.col("a").alias("f"), F.col("b").alias("g")), ["f", "g"]).withColumn("extra", F.least("be", "bf", "bg"))
+    sides = [("f", "g", "be"), ("e", "g", "bf"), ("e", "f", "bg")]
+    return closed.select("extra", F.explode(F.array(*[F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(opposite).alias("o")) for x, y, opposite in sides])).alias("p")).where("p.o = extra").select("p.a", "p.b", "extra").distinct()
+
+
+def confidences(pairs: DataFrame, w: Weights | None = None, *, outer_rounds: int = 40, tolerance: float = 0.01, step: float = 4.0) -> DataFrame:
     """(a, b, confidence) of candidate pairs, from the joint problem.
 
     Entities get the least id within two links as the label of their block; a block with more than ``BLOCK_PAIRS`` pairs is
-    divided by entity. A pair goes to the blocks of both its entities; where these differ the copies are brought to
-    consensus, in rounds that touch only blocks with such pairs.
+    divided by entity. A pair goes to the blocks of both its entities, and to the least block of any triangle whose entities
+    lie in three; the copies are brought to consensus, in rounds that touch only blocks with such pairs.
     """
     w = w or Weights()
     scratch = Scratch(pairs.sparkSession, "linkage")
@@ -364,13 +392,20 @@ def confidences(pairs: DataFrame, w: Weights | None = None, *, outer_rounds: int
     label = label.join(size, "label", "left").select("e", F.xxhash64("label", F.pmod(F.xxhash64("e"), parts)).alias("block"))
     label = scratch.keep(label)
     placed = pairs.join(label.select(F.col("e").alias("a"), F.col("block").alias("ba")), "a").join(label.select(F.col("e").alias("b"), F.col("block").alias("bb")), "b")
-    placed = placed.withColumn("block", F.explode(F.array_distinct(F.array("ba", "bb")))).withColumn("copies", F.when(F.col("ba") == F.col("bb"), 1).otherwise(2))
-    columns = ["a", "b", "da", "db", "pull", "target", "push", "block", "copies"]
-    state = placed.select(*columns, F.lit(0.0).alias("z"), F.lit(0.0).alias("u"))
-    schema = "a binary, b binary, da string, db string, pull double, target double, push double, block bigint, copies int, z double, u double, x double"
+    placed = scratch.keep(placed)
+    blocks = F.array_distinct(F.array("ba", "bb"))
+    if w.transitive and placed.where("ba <> bb").limit(1).count():
+        extra = _closing(placed).groupBy("a", "b").agg(F.collect_set("extra").alias("extra"))
+        placed = placed.join(extra, ["a", "b"], "left")
+        blocks = F.array_union(blocks, F.coalesce("extra", F.array().cast("array<bigint>")))
+    placed = placed.withColumn("copies", F.size(blocks)).withColumn("block", F.explode(blocks))
+    columns = ["a", "b", "da", "db", "pull", "target", "push", "ba", "bb", "block", "copies"]
+    alone = F.when(F.col("pull") + F.col("push") > 0, F.col("pull") * F.col("target") / (F.col("pull") + F.col("push"))).otherwise(0.0)
+    state = placed.select(*columns, alone.alias("z"), F.lit(0.0).alias("u"))
+    schema = "a binary, b binary, da string, db string, pull double, target double, push double, ba bigint, bb bigint, block bigint, copies int, z double, u double, x double"
 
     def solved(rows: DataFrame) -> DataFrame:
-        return scratch.keep(rows.repartition("block").sortWithinPartitions("block").mapInPandas(_solver(w, step), schema))
+        return scratch.keep(rows.repartition("block").sortWithinPartitions("block", "a", "b").mapInPandas(_solver(w, step), schema))
 
     first = solved(state)
     shared = first.where("copies > 1")
@@ -381,10 +416,12 @@ def confidences(pairs: DataFrame, w: Weights | None = None, *, outer_rounds: int
     final = first.join(shared.select("block").distinct(), "block", "left_anti").select("a", "b", F.col("x").alias("confidence"))
     for _ in range(outer_rounds):
         mean = touched.groupBy("a", "b").agg(F.avg(F.col("x") + F.col("u")).alias("mean"))
-        state = scratch.keep(touched.join(mean, ["a", "b"]).select(*columns, "x", F.when(F.col("copies") > 1, F.col("mean")).otherwise(F.col("x")).alias("z"), (F.col("u") + F.col("x") - F.col("mean")).alias("u")))
-        if state.where(F.abs(F.col("x") - F.col("z")) > tolerance).limit(1).count() == 0:
+        state = scratch.keep(touched.join(mean, ["a", "b"]).select(*columns, "x", F.col("z").alias("before"), F.when(F.col("copies") > 1, F.col("mean")).otherwise(F.col("x")).alias("z"), (F.col("u") + F.col("x") - F.col("mean")).alias("u")))
+        # copies that agree are not at rest while what they agree on still moves
+        apart = F.greatest(F.abs(F.col("x") - F.col("z")), F.abs(F.col("z") - F.col("before")))
+        if state.where((F.col("copies") > 1) & (apart > tolerance)).limit(1).count() == 0:
             break
-        touched = solved(state.drop("x"))
+        touched = solved(state.drop("x", "before"))
     agreed = touched.groupBy("a", "b").agg(F.avg("x").alias("confidence"))
     return final.unionByName(agreed)
 
