@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from knotwork.llm import linkage as K
+from knotwork.llm.survivors import Bundle, Dependency, survivors
 
 PAIR = "a binary, b binary, da string, db string, pull double, target double, push double"
 
@@ -33,3 +34,20 @@ def test_transitivity_over_blocks_and_orders(spark, monkeypatch):
         rng.shuffle(pairs)
         got = {(bytes(r.a), bytes(r.b)): r.confidence for r in K.confidences(spark.createDataFrame(pairs, PAIR), w, outer_rounds=60, tolerance=0.001).collect()}
         assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) < 0.03
+
+
+def test_dependencies_hold_for_pruned_records(spark, make_statements):
+    """The record of the chosen number states AG, though other records of its trust state newer forms."""
+    datasets = spark.createDataFrame([("reg", 5)], "name string, trust int")
+    rows = [
+        ("n1", "a", "NK", "registrationNumber", "Company", "HR 111", "reg", "2020-01-01"), ("f1", "a", "NK", "legalForm", "Company", "GmbH", "reg", "2020-01-01"),
+        ("n2", "b", "NK", "registrationNumber", "Company", "HR 222", "reg", "2021-01-01"), ("f2", "b", "NK", "legalForm", "Company", "AG", "reg", "2021-01-01"),
+        ("f3", "c", "NK", "legalForm", "Company", "GmbH", "reg", "2022-01-01"),
+    ]
+    # sums of recency decide: 111 with GmbH of 2022, 222 with AG of 2021
+    for whole, newer, want in ((False, "2021-01-01", {"n2", "f2"}), (True, "2021-01-01", {"n2", "f2"}), (False, "2020-06-01", {"n1", "f3"})):
+        form = Bundle("form", ("legalForm",))
+        bundles = [Bundle("registration", ("registrationNumber", "incorporationDate") if whole else ("registrationNumber",)), form]
+        moved = [(*r[:7], newer if r[1] == "b" else "2021-12-01" if r[0] == "f3" and want == {"n2", "f2"} else r[7]) for r in rows]
+        got = survivors(make_statements(moved), datasets, bundles, [Dependency("registration", "form")], differing_only=False)
+        assert {r.statement_id for r in got.collect()} == want
