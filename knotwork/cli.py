@@ -92,7 +92,7 @@ def train(args: argparse.Namespace) -> None:
     features = M.REGRESSION_V1 if args.model == "regression-v1" else M.ENTITY_REGRESSION
     judged = formats.read_pairs(spark, args.pairs).withColumnsRenamed({"left": "l", "right": "r"})
     data = R.vectors(R.dataset(R.scan(judged)), features)
-    model = R.fit(data, args.model, features, centre=args.model == "regression-v1")
+    model = R.fit(data, args.model, features) if args.model == "regression-v1" else R.choose(data, args.model, features)[0]
     print(model.intercept, model.coefficients)
     R.losses(R.apply(model, data.where("partition = 'test'"))).show()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,8 +16,10 @@ from knotwork.operators.matching import Regression, encode
 from knotwork.operators.ontology import matchable
 
 SEED, TEST_SIZE, THRESHOLDS = 42, 0.30, (0.5, 0.7, 0.9)
-#: Strengths of the penalty and shares of its absolute part that are tried. Fixed values.
-STRENGTHS, SHARES = (1e-4, 1e-3, 1e-2, 1e-1), (0.0, 0.5, 1.0)
+#: Inverse strengths of the penalty on the summed loss, shares of its absolute part and folds that are tried. Fixed values.
+INVERSE_STRENGTHS, SHARES, FOLDS = tuple(10.0 ** (8 * k / 9 - 4) for k in range(10)), (0.0, 0.25, 0.5, 0.75, 1.0), 5
+#: Fits that run at once, and the most steps of one of them.
+AT_ONCE, STEPS = 8, 2000
 
 
 def partition_of(cluster: Column, test_size: float = TEST_SIZE, seed: int = SEED) -> Column:
@@ -79,24 +83,50 @@ def fit(data: DataFrame, name: str, features: dict[str, X.Feature], *, centre: b
     return Regression(name, features, dict(zip(features, weights, strict=True)), intercept)
 
 
-def choose(data: DataFrame, name: str, features: dict[str, X.Feature], folds: int = 3) -> tuple[Regression, float, float]:
-    """The scorer whose penalty has the least log loss over folds of the training partition, with the penalty chosen."""
+def choose(data: DataFrame, name: str, features: dict[str, X.Feature], folds: int = FOLDS) -> tuple[Regression, float, float]:
+    """The scorer whose penalty has the least mean log loss over folds of the training partition, fitted on all of it, with
+    the inverse strength and share chosen. Features are scaled once, by the whole training partition."""
     fold = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(folds))
-    train = data.where("partition = 'train'").withColumn("fold", fold).cache()
-    best: tuple[float, float, float] | None = None
+    train = data.where("partition = 'train'").cache()
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True).fit(train)
+    rest: dict[int, DataFrame] = {}
+    scaled = scaler.transform(train).select(F.col("y").cast("double").alias("y"), "features", fold.alias("fold")).cache()
+
+    def fitted(rows: DataFrame, n: int, inverse: float, share: float):  # noqa: ANN202
+        return LogisticRegression(labelCol="y", regParam=1.0 / (inverse * n), elasticNetParam=share, maxIter=STEPS, standardization=False).fit(rows)
+
     try:
-        for strength in STRENGTHS:
-            for share in SHARES:
-                loss = 0.0
-                for k in range(folds):
-                    part = train.withColumn("partition", F.when(F.col("fold") == k, "test").otherwise("train"))
-                    scored = apply(fit(part, name, features, centre=False, strength=strength, share=share), part.where("partition = 'test'"))
-                    loss += scored.agg(F.avg(log_loss(F.col("y"), F.col("score"))).alias("v")).head().v or 0.0
-                if best is None or loss < best[0]:
-                    best = (loss, strength, share)
+        sizes = {r.fold: r.n for r in scaled.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+        total = sum(sizes.values())
+        rest.update({k: scaled.where(F.col("fold") != k).cache() for k in sizes})
+        tries = [(inverse, share) for inverse in INVERSE_STRENGTHS for share in SHARES]
+
+        def model_of(task: tuple[int, float, float]) -> tuple[float, list[float]]:
+            model = fitted(rest[task[0]], total - sizes[task[0]], *task[1:])
+            return float(model.intercept), [float(c) for c in model.coefficients.toArray()]
+
+        def losses_of(k: int) -> list[float]:
+            x = vector_to_array("features")
+            scores = []
+            for inverse, share in tries:
+                intercept, weights = models[k, inverse, share]
+                z = F.aggregate(F.zip_with(x, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(intercept), lambda a, b: a + b)
+                scores.append(F.avg(log_loss(F.col("y"), 1.0 / (1.0 + F.exp(-z)))))
+            return list(scaled.where(F.col("fold") == k).agg(*[v.alias(f"v{i}") for i, v in enumerate(scores)]).head())
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            tasks = [(k, *t) for k in rest for t in tries]
+            models = dict(zip(tasks, pool.map(model_of, tasks), strict=True))
+            by_fold = list(pool.map(losses_of, rest))
+        mean = [sum(v) / len(v) for v in zip(*by_fold, strict=True)]
+        inverse, share = tries[min(range(len(tries)), key=mean.__getitem__)]
+        model = fitted(scaled, total, inverse, share)
     finally:
-        train.unpersist()
-    return fit(data, name, features, centre=False, strength=best[1], share=best[2]), best[1], best[2]
+        for frame in (*rest.values(), scaled, train):
+            frame.unpersist()
+    deviation = scaler.std.toArray()
+    weights = [float(c / d) if d > 0 else 0.0 for c, d in zip(model.coefficients.toArray(), deviation, strict=True)]
+    return Regression(name, features, dict(zip(features, weights, strict=True)), float(model.intercept)), inverse, share
 
 
 def apply(model: Regression, data: DataFrame) -> DataFrame:

@@ -128,9 +128,9 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("least"), F.max("score").alias("greatest"))
 
 
-def _fitted(spark: SparkSession, sf_dir: str, features: dict, name: str, centre: bool) -> DataFrame:
+def _fitted(spark: SparkSession, sf_dir: str, features: dict, name: str, *, search: bool = False) -> DataFrame:
     data = R.vectors(R.dataset(R.scan(judged(spark, sf_dir))), features).cache()
-    model = R.fit(data, name, features, centre=centre)
+    model = R.choose(data, name, features)[0] if search else R.fit(data, name, features)
     scored = R.apply(model, data.where("partition = 'test'"))
     areas = R.areas(scored)
     rows = R.losses(scored).select(F.lit("log_loss").alias("metric"), "log_loss").union(R.losses(scored).select(F.lit("brier"), "brier"))
@@ -141,10 +141,10 @@ def _fitted(spark: SparkSession, sf_dir: str, features: dict, name: str, centre:
 @REGISTRY.query("trn_regression_v1")
 def regression_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first regression scorer, fitted and tested."""
-    return _fitted(spark, sf_dir, M.REGRESSION_V1, "regression-v1", True)
+    return _fitted(spark, sf_dir, M.REGRESSION_V1, "regression-v1")
 
 
 @REGISTRY.query("trn_entity_regression")
 def entity_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second regression scorer, fitted and tested."""
-    return _fitted(spark, sf_dir, M.ENTITY_REGRESSION, "entity-regression", False)
+    """The second regression scorer, its penalty chosen by cross-validation, fitted and tested."""
+    return _fitted(spark, sf_dir, M.ENTITY_REGRESSION, "entity-regression", search=True)

@@ -1,8 +1,15 @@
 from __future__ import annotations
 
 import itertools
+import math
+import random
 
+from pyspark.ml.linalg import Vectors
+
+from knotwork.functions import features as X
+from knotwork.operators import training as R
 from knotwork.plans import matching as P
+from knotwork.plans import training as Q
 
 
 def test_values_of_many_holders_give_all_pairs(spark, make_statements, tmp_path, monkeypatch):
@@ -15,3 +22,28 @@ def test_values_of_many_holders_give_all_pairs(spark, make_statements, tmp_path,
         monkeypatch.setattr(P, "HOLDERS", holders)
         found = [tuple(r) for r in P.shared_pairs(spark, str(tmp_path)).collect()]
         assert len(found) == len(want) and set(found) == want
+
+
+def test_penalty_is_chosen_by_the_whole_search(spark, monkeypatch):
+    assert len(R.INVERSE_STRENGTHS) == 10 and (R.INVERSE_STRENGTHS[0], round(R.INVERSE_STRENGTHS[-1])) == (1e-4, 10_000) and R.SHARES == (0.0, 0.25, 0.5, 0.75, 1.0) and R.FOLDS == 5
+    rng = random.Random(3)
+    features = {n: getattr(X, n) for n in ("name_match", "name_levenshtein", "dob_matches")}
+    rows = []
+    for i in range(300):
+        x = [rng.gauss(0, 1) for _ in features]
+        rows.append((f"{rng.randrange(16**8):08x}", int(rng.random() < 1 / (1 + math.exp(-2 * x[0]))), "train" if i % 4 else "test", Vectors.dense(x)))
+    data = spark.createDataFrame(rows, ["digest", "y", "partition", "raw"])
+    monkeypatch.setattr(R, "INVERSE_STRENGTHS", (1e-4, 1.0))
+    monkeypatch.setattr(R, "SHARES", (0.0, 1.0))
+    model, inverse, share = R.choose(data, "m", features)
+    assert inverse == 1.0 and share in R.SHARES and 1.2 < model.coefficients["name_match"] < 3
+    assert abs(model.coefficients["name_levenshtein"]) < 0.6
+
+    called = []
+    monkeypatch.setattr(R, "choose", lambda data, name, features: called.append(name) or (R.fit(data, name, features), 1.0, 0.0))
+    monkeypatch.setattr(R, "scan", lambda judged: judged)
+    monkeypatch.setattr(R, "dataset", lambda scanned: scanned)
+    monkeypatch.setattr(R, "vectors", lambda rows, features: rows)
+    monkeypatch.setattr(Q, "judged", lambda spark, sf_dir: data)
+    monkeypatch.setattr(Q.M, "ENTITY_REGRESSION", features)
+    assert {r.metric for r in Q.entity_regression(spark, "").collect()} == {"log_loss", "brier", "roc_auc", "average_precision"} and called == ["entity-regression"]
