@@ -262,6 +262,6 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocking, judgements, entities and scores together: suggestions and merges."""
     found = M.xref(
-        S.assemble(table(spark, sf_dir, "statements")), B.token_entries(table(spark, sf_dir, "entries")), table(spark, sf_dir, "resolver"), scorer=M.SANCTION_SEARCH, limit=500, auto_threshold=0.98
+        S.assemble(table(spark, sf_dir, "statements")), B.token_entries(table(spark, sf_dir, "entries")), table(spark, sf_dir, "resolver"), scorer=M.SANCTION_SEARCH, auto_threshold=0.98
     )
     return found.withColumn("score", F.round("score", 5))

@@ -47,3 +47,13 @@ def test_penalty_is_chosen_by_the_whole_search(spark, monkeypatch):
     monkeypatch.setattr(Q, "judged", lambda spark, sf_dir: data)
     monkeypatch.setattr(Q.M, "ENTITY_REGRESSION", features)
     assert {r.metric for r in Q.entity_regression(spark, "").collect()} == {"log_loss", "brier", "roc_auc", "average_precision"} and called == ["entity-regression"]
+
+
+def test_xref_query_takes_the_default_limits(monkeypatch, spark, make_statements, tmp_path):
+    make_statements([("s", "e", "e", "name", "Person", "Ann Bell", "reg", None)]).write.parquet(f"{tmp_path}/statements.parquet")
+    spark.createDataFrame([], "schema string, id string, field string, token string, count int").write.parquet(f"{tmp_path}/entries.parquet")
+    spark.createDataFrame([], "target string, source string, judgement string").write.parquet(f"{tmp_path}/resolver.parquet")
+    given = {}
+    monkeypatch.setattr(P.M, "xref", lambda *tables, **options: given.update(options) or spark.createDataFrame([(0.5,)], "score double"))
+    P.xref(spark, str(tmp_path))
+    assert not {"limit", "limit_factor", "patience"} & given.keys()
