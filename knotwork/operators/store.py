@@ -82,9 +82,8 @@ def carry_first_seen(rows: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def first_seen(statements: DataFrame, key: str = "canonical_id") -> DataFrame:
-    """(key, seen): a map of statement ids to their first sight."""
-    once = statements.where("id IS NOT NULL").groupBy(key, "id").agg(F.min("first_seen").alias("t"))
-    return once.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "t")))).alias("seen"))
+    """(key, id, first_seen): the first sight of each statement id of a key, one row each, so no key is gathered in one place."""
+    return statements.where("id IS NOT NULL").groupBy(key, "id").agg(F.min("first_seen").alias("first_seen"))
 
 
 def cache_lookup(cache: DataFrame, keys: DataFrame, *, now: str, max_age_days: int | None = None, since: str | None = None) -> DataFrame:

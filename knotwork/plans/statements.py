@@ -132,11 +132,20 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
   LEFT JOIN linker c ON c.node = s.entity_id LEFT JOIN linker v ON v.node = s.value AND s.prop IN ('payer', 'beneficiary', 'addressEntity') GROUP BY ALL""",
 )
 def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payments as entities, taken apart, canonicalised and told by id, property and value."""
-    rows = _statements(spark, sf_dir).where("schema = 'Payment'")
-    entities = S.assemble(rows, key="entity_id")
-    apart = S.disassemble(entities).withColumn("original_value", F.lit(None).cast("string"))
-    return S.canonicalise(apart, J.linker(table(spark, sf_dir, "resolver"))).select(F.col("canonical_id").alias("id"), "prop", "value").distinct()
+    """Payments, as its SQL; ``can_entities_all`` has all entities."""
+    return _canonical(_statements(spark, sf_dir).where("schema = 'Payment'"), table(spark, sf_dir, "resolver"))
+
+
+@REGISTRY.query("can_entities_all")
+def canonical_entities_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities, taken apart, canonicalised and told by id, property and value."""
+    return _canonical(_statements(spark, sf_dir), table(spark, sf_dir, "resolver"))
+
+
+def _canonical(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Statements as entities, taken apart, canonicalised and told by id, property and value."""
+    apart = S.disassemble(S.assemble(rows, key="entity_id")).withColumn("original_value", F.lit(None).cast("string"))
+    return S.canonicalise(apart, J.linker(edges)).select(F.col("canonical_id").alias("id"), "prop", "value").distinct()
 
 
 _KNOWN = "known AS (SELECT DISTINCT canonical_id FROM statements WHERE canonical_id IS NOT NULL)"
@@ -166,9 +175,17 @@ def has_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("sto_first_seen", "SELECT canonical_id, string_agg(id || '=' || coalesce(strftime(t, '%Y-%m-%d %H:%M:%S.%f'), '?'), ';' ORDER BY id) AS seen FROM (SELECT canonical_id, id, min(first_seen) AS t FROM statements WHERE \"schema\" = 'Address' AND id IS NOT NULL GROUP BY ALL) GROUP BY 1")
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses only, as its SQL, as text per canonical id; ``sto_first_seen_all`` has all entities."""
     found = V.first_seen(_statements(spark, sf_dir).where("schema = 'Address'"))
-    entry = lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.date_format(e["value"], "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("?")))
-    return found.select("canonical_id", F.array_join(F.transform(F.map_entries("seen"), entry), ";").alias("seen"))
+    entry = F.concat("id", F.lit("="), F.coalesce(F.date_format("first_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("?")))
+    rows = found.groupBy("canonical_id").agg(F.array_sort(F.collect_list(F.struct("id", entry.alias("text")))).alias("all"))
+    return rows.select("canonical_id", F.array_join(F.col("all.text"), ";").alias("seen"))
+
+
+@REGISTRY.query("sto_first_seen_all", "SELECT canonical_id, id, min(first_seen) AS first_seen FROM statements WHERE id IS NOT NULL GROUP BY ALL")
+def first_seen_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sight of every statement of every entity."""
+    return V.first_seen(_statements(spark, sf_dir))
 
 
 @REGISTRY.query(
@@ -202,10 +219,21 @@ for _fmt in formats.FORMATS:
 
 @REGISTRY.query("src_entities_json", """SELECT entity_id AS id, any_value("schema") AS "schema", count(DISTINCT (prop, value)) AS n_values, min(value) AS least FROM statements WHERE "schema" = 'Address' AND value IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1""")
 def entities_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses written as JSON-lines entities and read again."""
+    """Addresses, as its SQL; ``src_entities_json_all`` has all entities."""
+    return _entities_json(spark, _statements(spark, sf_dir).where("schema = 'Address'"))
+
+
+@REGISTRY.query("src_entities_json_all")
+def entities_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entities written as JSON lines and read again."""
+    return _entities_json(spark, _statements(spark, sf_dir))
+
+
+def _entities_json(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Statements written as JSON-lines entities and read again."""
     scratch = Scratch(spark, "entities")
     path = f"{scratch.base}/entities"
-    formats.write_entities(S.assemble(_statements(spark, sf_dir).where("schema = 'Address'"), key="entity_id"), path)
+    formats.write_entities(S.assemble(rows, key="entity_id"), path)
     values = F.flatten(F.map_values("properties"))
     return formats.read_entities(spark, path).select("id", "schema", F.size(values).cast("long").alias("n_values"), F.array_min(values).alias("least"))
 

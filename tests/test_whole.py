@@ -9,6 +9,7 @@ from pyspark.ml.linalg import Vectors
 from knotwork.functions import features as X
 from knotwork.operators import training as R
 from knotwork.plans import matching as P
+from knotwork.plans import statements as N
 from knotwork.plans import training as Q
 
 
@@ -57,3 +58,11 @@ def test_xref_query_takes_the_default_limits(monkeypatch, spark, make_statements
     monkeypatch.setattr(P.M, "xref", lambda *tables, **options: given.update(options) or spark.createDataFrame([(0.5,)], "score double"))
     P.xref(spark, str(tmp_path))
     assert not {"limit", "limit_factor", "patience"} & given.keys()
+
+
+def test_stores_and_files_hold_all_entities(spark, make_statements, tmp_path):
+    rows = [("s1", "a", "NK", "name", "Person", "Ann", "reg", None), ("s2", "b", "NK", "name", "Organization", "Acme", "reg", None), ("s3", "c", "c", "full", "Address", "Town", "reg", None)]
+    make_statements(rows).write.parquet(f"{tmp_path}/statements.parquet")
+    assert {(r.canonical_id, r.id) for r in N.first_seen_all(spark, str(tmp_path)).collect()} == {("NK", "s1"), ("NK", "s2"), ("c", "s3")}
+    assert [tuple(r) for r in N.first_seen(spark, str(tmp_path)).collect()] == [("c", "s3=?")]
+    assert {(r.id, r.schema, r.least) for r in N.entities_json_all(spark, str(tmp_path)).collect()} == {("a", "Person", "Ann"), ("b", "Organization", "Acme"), ("c", "Address", "Town")}
