@@ -140,6 +140,11 @@ _SPLIT = re.compile(r"[\s,.;:\"«»“”()\-‐–/]+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿа-я])(?=[A-ZÀ-ÞА-Я])")
 
 
+def _longest(words: list[str]) -> str:
+    """The longest word, of equally long ones the last in the alphabet, so that the order of the words does not matter."""
+    return max(words, key=lambda w: (len(w), w))
+
+
 @lru_cache(maxsize=100_000)
 def person(name: str) -> Name | None:
     """A person's name, in either order, with titles, initials, pet forms, slips, odd joins and other scripts."""
@@ -160,12 +165,12 @@ def person(name: str) -> Name | None:
         # every word is a known given name: the family name stands first before a comma, else last
         ordered = sorted(named, key=lambda w: (given_name(w)[1], -longer.index(w) if not before else longer.index(w)))
         family, named = ordered[:1], ordered[1:]
-    key = max(family, key=len) if not before else max([w for w in family if w in before] or family, key=len)
+    key = _longest(family) if not before else _longest([w for w in family if w in before] or family)
     if named:
         given = given_name(named[0])[0]
     else:
         others = [w for w in family if w != key]
-        given = others[0] if others else None
+        given = _longest(others) if others else None
     return Name("P", skeleton(key), given or "", "" if given else (initials[0] if initials else ""))
 
 
@@ -209,8 +214,8 @@ def company(name: str) -> Name | None:
         else:
             own.append(w)
     if not own:
-        return Name("C", skeleton(max(words, key=len)), " ".join(sorted(set(trades))), "") if words else None
-    key = max(own, key=len)
+        return Name("C", skeleton(_longest(words)), " ".join(sorted(set(trades))), "") if words else None
+    key = _longest(own)
     rest = sorted({*trades, *[w for w in own if w != key]})
     return Name("C", skeleton(key), " ".join(rest), "")
 

@@ -6,6 +6,7 @@ import random
 import numpy as np
 
 from knotwork.llm import linkage as K
+from knotwork.llm import names as N
 from knotwork.llm.survivors import Bundle, Dependency, survivors
 
 PAIR = "a binary, b binary, da string, db string, pull double, target double, push double"
@@ -51,3 +52,9 @@ def test_dependencies_hold_for_pruned_records(spark, make_statements):
         moved = [(*r[:7], newer if r[1] == "b" else "2021-12-01" if r[0] == "f3" and want == {"n2", "f2"} else r[7]) for r in rows]
         got = survivors(make_statements(moved), datasets, bundles, [Dependency("registration", "form")], differing_only=False)
         assert {r.statement_id for r in got.collect()} == want
+
+
+def test_unknown_names_in_any_order():
+    for words in (["Anna", "Berg"], ["Zora", "Abel", "Timo"]):
+        assert len({N.person(" ".join(order)) for order in itertools.permutations(words)}) == 1
+    assert N.company("Abcd Wxyz Foods Ltd") == N.company("Wxyz Abcd Foods Ltd")
