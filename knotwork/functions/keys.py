@@ -20,3 +20,17 @@ def unpack(packed: Column) -> Column:
 def small(frame: DataFrame, rows: int = 10_000) -> DataFrame:
     """The frame with a broadcast hint if it has at most so many rows, else as it is, to be joined by shuffle."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
+def meetings(frame: DataFrame, key: str, member: str, holders: int = 1000) -> DataFrame:
+    """(a, b): members a < b that hold a common key, each pair once.
+
+    The holders of a key are dealt to salts of about ``holders``, so that no key of the join has more than that many rows on its
+    left side, however many hold it; all pairs come out.
+    """
+    rows = frame.select(F.col(key).alias("_k"), F.col(member).alias("_m")).distinct()
+    sized = rows.groupBy("_k").agg(F.ceil(F.count("*") / F.lit(holders)).cast("int").alias("_n"), F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    rows = rows.join(sized, "_k")
+    left = rows.select("_k", F.col("_m").alias("a"), F.pmod(F.xxhash64("_m"), "_n").cast("int").alias("_s"))
+    right = rows.select("_k", F.col("_m").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"))
+    return left.join(right.hint("merge"), ["_k", "_s"]).where("a < b").select("a", "b").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.functions.keys import small
 from knotwork.operators.ontology import PROPERTIES, SCHEMATA, schema_kinds
 
 
@@ -56,7 +57,7 @@ def scope_names(datasets: DataFrame, name: str, depth: int = 8) -> DataFrame:
 
 def in_scope(statements: DataFrame, leaves: DataFrame, *, external: bool = False) -> DataFrame:
     """Statements of some datasets; those marked external only if asked for."""
-    rows = statements.join(F.broadcast(leaves.select(F.col("name").alias("dataset"))), "dataset", "left_semi").select(*statements.columns)
+    rows = statements.join(small(leaves.select(F.col("name").alias("dataset"))), "dataset", "left_semi").select(*statements.columns)
     return rows if external else rows.where(~F.coalesce("external", F.lit(False)))
 
 

@@ -17,8 +17,6 @@ REGISTRY = Registry()
 
 _KINDS = ("Person", "Company", "Organization")
 _KIND_SQL = "('Person', 'Company', 'Organization')"
-#: Entities of one value that meet its other entities under one key.
-HOLDERS = 1000
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +25,14 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(left, right): entities with one phone, mail address or address of more than ten characters in common.
+    """(left, right): each entity with the least entity that has one phone, mail address or address in common with it.
 
-    Every value counts, however many entities have it: the holders of a value are dealt to salts of about ``HOLDERS``, so
-    that no key of the join has more than that many rows on the left.
+    A value gives one pair for each further holder, not all pairs of its holders, so the rows grow as the table does, and no
+    value is left out, however many entities have it. The least holder is a minimum combined before the shuffle.
     """
-    rows = table(spark, sf_dir, "statements").where(F.col("schema").isin(*_KINDS) & F.col("prop").isin("phone", "email", "address") & (F.length("value") > 10))
-    rows = rows.select("prop", "value", "entity_id").distinct()
-    salts = F.ceil(F.col("count") / F.lit(HOLDERS)).cast("int")
-    rows = rows.join(rows.groupBy("prop", "value").count().where("count > 1"), ["prop", "value"]).select("prop", "value", "entity_id", salts.alias("salts"))
-    left = rows.select("prop", "value", F.col("entity_id").alias("left"), F.pmod(F.xxhash64("entity_id"), "salts").cast("int").alias("salt"))
-    right = rows.select("prop", "value", F.col("entity_id").alias("right"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return left.join(right, ["prop", "value", "salt"]).where("left < right").select("left", "right").distinct()
+    rows = table(spark, sf_dir, "statements").where(F.col("schema").isin(*_KINDS) & F.col("prop").isin("phone", "email", "address") & F.col("value").isNotNull() & F.col("entity_id").isNotNull())
+    first = rows.groupBy("prop", "value").agg(F.min("entity_id").alias("left"))
+    return rows.join(first, ["prop", "value"]).where("left < entity_id").select("left", F.col("entity_id").alias("right")).distinct()
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +49,8 @@ WITH ent AS (
     {_list("address", "full")} AS addr, {_list("registrationNumber", "taxNumber", "idNumber", "publicationNumber")} AS ids, {_list("registrationNumber", "taxNumber", "idNumber")} AS wids, {_list("phone")} AS phones, {_list("email")} AS emails, {_list("sourceUrl")} AS urls,
     {_list("gender")} AS genders, {_list("birthPlace")} AS places
   FROM statements WHERE value IS NOT NULL AND entity_id IS NOT NULL AND "schema" IN {_KIND_SQL} GROUP BY 1
-), sh AS (SELECT DISTINCT prop, value, entity_id FROM statements WHERE "schema" IN {_KIND_SQL} AND prop IN ('phone', 'email', 'address') AND length(value) > 10
-), few AS (SELECT prop, value FROM sh GROUP BY 1, 2 HAVING count(*) <= 20
-), pr AS (SELECT DISTINCT a.entity_id AS l, b.entity_id AS r FROM sh a JOIN sh b ON a.prop = b.prop AND a.value = b.value AND a.entity_id < b.entity_id JOIN few ON few.prop = a.prop AND few.value = a.value
+), sh AS (SELECT entity_id AS r, min(entity_id) OVER (PARTITION BY prop, value) AS l FROM statements WHERE "schema" IN {_KIND_SQL} AND prop IN ('phone', 'email', 'address') AND value IS NOT NULL AND entity_id IS NOT NULL
+), pr AS (SELECT DISTINCT l, r FROM sh WHERE l < r
 ), x AS (SELECT pr.l, pr.r, q, e FROM pr JOIN ent q ON q.id = pr.l JOIN ent e ON e.id = pr.r
 )
 """

@@ -11,6 +11,7 @@ from knotwork.operators import training as R
 from knotwork.operators.ontology import matchable
 from knotwork.plans import matching as P
 from knotwork.plans.registry import Registry
+from knotwork.session import Scratch
 from knotwork.sources.tables import table
 
 REGISTRY = Registry()
@@ -129,7 +130,7 @@ def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf_dir: str, features: dict, name: str, *, search: bool = False) -> DataFrame:
-    data = R.vectors(R.dataset(R.scan(judged(spark, sf_dir))), features).cache()
+    data = Scratch(spark, "vectors").keep(R.vectors(R.dataset(R.scan(judged(spark, sf_dir))), features))
     model = R.choose(data, name, features)[0] if search else R.fit(data, name, features)
     scored = R.apply(model, data.where("partition = 'test'"))
     areas = R.areas(scored)

@@ -19,11 +19,17 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: the session's own setting, else a temporary folder (tests on one machine)."""
+    """The folder for lineage cuts: the session's own setting; only a session on one machine may do without it.
+
+    Raises RuntimeError on a cluster without the setting, where executors could not read each other's files.
+    """
     global _own_dir
     configured = spark.conf.get(SHARED_DIR, None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set {SHARED_DIR} to a folder that all executors share; the master is {master}")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="knotwork-")
     return _own_dir

@@ -4,25 +4,46 @@ import itertools
 import math
 import random
 
+import pytest
 from pyspark.ml.linalg import Vectors
 
 from knotwork.functions import features as X
+from knotwork.functions.keys import meetings
 from knotwork.operators import training as R
 from knotwork.plans import matching as P
 from knotwork.plans import statements as N
 from knotwork.plans import training as Q
+from knotwork.session import shared_dir
 
 
-def test_values_of_many_holders_give_all_pairs(spark, make_statements, tmp_path, monkeypatch):
-    """A value that more than twenty entities have, with all holders under one key and salted."""
-    rows = [(f"s{i}", f"e{i:02}", f"e{i:02}", "phone", "Person", "+1 555 0100 200", "reg", None) for i in range(25)]
+def test_values_of_many_holders_pair_every_holder(spark, make_statements, tmp_path):
+    """A value that many entities have, however short: each meets the least one, and none is left out."""
+    rows = [(f"s{i}", f"e{i:02}", f"e{i:02}", "phone", "Person", "555 01", "reg", None) for i in range(25)]
     rows += [("t", "e03", "e03", "email", "Person", "someone@mail.example", "reg", None), ("u", "x", "x", "email", "Person", "someone@mail.example", "reg", None), ("v", "y", "y", "phone", "Person", "+1 555 0199 999", "reg", None)]
-    make_statements(rows).write.parquet(f"{tmp_path}/statements.parquet")
-    want = {*itertools.combinations([f"e{i:02}" for i in range(25)], 2), ("e03", "x")}
-    for holders in (P.HOLDERS, 4):
-        monkeypatch.setattr(P, "HOLDERS", holders)
-        found = [tuple(r) for r in P.shared_pairs(spark, str(tmp_path)).collect()]
-        assert len(found) == len(want) and set(found) == want
+    make_statements(rows + rows).write.parquet(f"{tmp_path}/statements.parquet")
+    want = {*[("e00", f"e{i:02}") for i in range(1, 25)], ("e03", "x")}
+    found = [tuple(r) for r in P.shared_pairs(spark, str(tmp_path)).collect()]
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_meetings_are_all_pairs_for_any_salts(spark):
+    rows = spark.createDataFrame([("k", m) for m in "abcdefgh" * 2] + [("l", "a"), ("l", "b"), ("m", "c"), (None, "d"), (None, "e")], "g string, m string")
+    for holders in (1000, 2):
+        found = [tuple(r) for r in meetings(rows, "g", "m", holders).collect()]
+        assert sorted(found) == sorted(itertools.combinations("abcdefgh", 2))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        get = dict.get
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///tmp/x/"
+    assert shared_dir(Session()) == "hdfs:///tmp/x"
 
 
 def test_penalty_is_chosen_by_the_whole_search(spark, monkeypatch):
