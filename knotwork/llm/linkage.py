@@ -17,13 +17,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.functions.keys import pack, small, unpack
+from knotwork.functions.keys import meetings, pack, small, unpack
 from knotwork.functions.text import squeeze, states_nothing
 from knotwork.functions.typed import full_date
-from knotwork.llm.names import distance, fold, parse
+from knotwork.llm.lexicon import learn
+from knotwork.llm.names import Lexicon, distance, fold
+from knotwork.llm.spellings import deletions
 from knotwork.session import Scratch
 
 
@@ -50,6 +53,8 @@ ROLES = {"name": "n", "alias": "n", "birthDate": "d", "incorporationDate": "d",
 STREETS = {"st": "street", "str": "strasse", "rd": "road", "ave": "avenue", "sq": "square", "no": "", "nr": ""}
 #: Most candidate pairs of one block; a larger one is split and brought to consensus.
 BLOCK_PAIRS = 20_000
+#: Entities of a block from which on it is divided by their names.
+BLOCK_ENTITIES = 64
 #: Names match by their initial only to this degree.
 INITIAL = 0.85
 
@@ -65,25 +70,28 @@ def address_key(value: str) -> str:
     return f"{house}|{code}|{' '.join(words)}"
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, out = [], []
-        for k, (schema, role, value) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
-            if role == "n":
-                name = parse(schema, value)
-                key = f"n{name.kind}|{name.key}|{name.rest}|{name.initial}" if name else None
-            elif role == "a":
-                key = "a" + address_key(value)
-            elif role == "c":
-                digits = re.sub(r"\D", "", value)
-                key = "c" + (value.lower() if "@" in value else digits.removeprefix("00"))
-            else:
-                key = role + value.lower()
-            if key:
-                rows.append(k)
-                out.append(key)
-        keep = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(4).take(keep), pa.array(out, pa.string())], names=["e", "dataset", "key"])
+def _evidence(lexicon: Lexicon):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for k, (schema, role, value) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
+                if role == "n":
+                    name = lexicon.parse(schema, value)
+                    key = f"n{name.kind}|{name.key}|{name.rest}|{name.initial}" if name else None
+                elif role == "a":
+                    key = "a" + address_key(value)
+                elif role == "c":
+                    digits = re.sub(r"\D", "", value)
+                    key = "c" + (value.lower() if "@" in value else digits.removeprefix("00"))
+                else:
+                    key = role + value.lower()
+                if key:
+                    rows.append(k)
+                    out.append(key)
+            keep = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(4).take(keep), pa.array(out, pa.string())], names=["e", "dataset", "key"])
+
+    return read
 
 
 def records(statements: DataFrame, datasets: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -94,7 +102,7 @@ def records(statements: DataFrame, datasets: DataFrame, kinds: tuple[str, ...])
     value = squeeze(F.col("value"))
     date = F.coalesce(full_date(value), F.when(value.rlike(r"^\d{4}(-\d{2})?$"), value))
     rows = rows.where(~states_nothing(F.col("value"))).select(pack(F.col("entity_id")).alias("e"), "schema", role.alias("role"), F.when(role == "d", date).otherwise(value).alias("value"), "dataset")
-    read = rows.where("value IS NOT NULL").mapInArrow(_evidence, "e binary, dataset string, key string")
+    read = rows.where("value IS NOT NULL").mapInArrow(_evidence(learn(statements)), "e binary, dataset string, key string")
     return read.groupBy("e").agg(F.min("dataset").alias("dataset"), F.collect_set("key").alias("keys"))
 
 
@@ -226,14 +234,31 @@ def _terms(w: Weights):
     return grade
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of a full block: the block with each string that the key word of a name leaves after as many deletions as slips are
+    allowed; entities that share none have no common name."""
+    for batch in batches:
+        rows, out = [], []
+        for k, (keys, block) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            words = {key[1:].split("|")[1] for key in keys if key[0] == "n"}
+            found = {xxhash.xxh64_intdigest(f"{block}|{h}") - 2**63 for w in words for h in deletions(w, 2 if len(w) >= 7 else 1 if len(w) >= 4 else 0)}
+            rows += [k] * len(found)
+            out += found
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.int64())], names=["e", "h"])
+
+
 def candidates(known: DataFrame, w: Weights) -> DataFrame:
     """(a, b, da, db, pull, target, push): pairs a < b of different datasets that share a block and may have one name.
 
-    pull and target: summed weight of the rules for the match and the degree they ask for; push: weight against it.
+    pull and target: summed weight of the rules for the match and the degree they ask for; push: weight against it. A block with
+    more than ``BLOCK_ENTITIES``, such as the address of an agent for thousands, is divided by the words its names may be slips of
+    before its entities meet: no two whose names may be one are parted.
     """
-    blocks = known.select("e", "keys").mapInArrow(_blocks, "e binary, block string").select("e", F.xxhash64("block").alias("h"))
-    # the optimiser takes the blocks for as small as the records, so it must not broadcast them
-    met = blocks.withColumnRenamed("e", "a").join(blocks.withColumnRenamed("e", "b").hint("merge"), "h").where("a < b").select("a", "b").distinct()
+    scratch = Scratch(known.sparkSession, "blocks")
+    blocks = scratch.keep(known.select("e", "keys").mapInArrow(_blocks, "e binary, block string").select("e", F.xxhash64("block").alias("h")).distinct())
+    full = blocks.groupBy("h").count().where(F.col("count") > BLOCK_ENTITIES).select("h")
+    finer = blocks.join(full, "h", "left_semi").join(known.select("e", "keys"), "e").select("e", "keys", "h").mapInArrow(_finer, "e binary, h bigint")
+    met = meetings(blocks.join(full, "h", "left_anti").select("e", "h").unionByName(finer), "h", "e")
     left = known.select(F.col("e").alias("a"), F.col("keys").alias("ka"), F.col("dataset").alias("da"))
     right = known.select(F.col("e").alias("b"), F.col("keys").alias("kb"), F.col("dataset").alias("db"))
     both = met.join(left, "a").join(right, "b").where("da <> db").select("a", "b", "ka", "kb", "da", "db")

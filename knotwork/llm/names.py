@@ -21,27 +21,10 @@ _LATIN = str.maketrans({"ß": "ss", "ø": "o", "œ": "oe", "æ": "ae", "đ": "d"
 TITLES = frozenset("mr mrs ms miss mme mlle dr prof herr frau hr fr sr sra srta don doña el sir".split())
 PARTICLES = frozenset("de von van der den del della di da la le af zu".split())
 
-#: Given names in full, with their short and pet forms. Fixed values.
-GIVEN = {
-    "abdulkarim": "karim", "alexander": "sasha", "amelie": "melie", "bartholomew": "bart", "benedikt": "bene", "bjorn": "", "celine": "", "charlotte": "lotte", "cornelius": "cees",
-    "desdemona": "desi", "dimitri": "mitya dmitri", "dominik": "nik", "elisabeth": "lisbet", "estefania": "fanny", "evangelos": "vangelis", "ferdinand": "nando", "florentine": "flora",
-    "francois": "fanfan", "gabriele": "gabi", "giuseppe": "beppe", "gregor": "grisha", "helena": "leni", "helene": "", "hortense": "", "ignatius": "naz", "ivana": "vanka", "joaquin": "quino",
-    "johanna": "hanni", "jurgen": "jogi", "katharina": "kati", "kazimierz": "kazik", "konstantin": "kostya", "leopold": "poldi", "ludmila": "mila", "margarethe": "gretl", "mikhail": "misha",
-    "natalia": "nata", "nikolai": "kolya", "olga": "olya", "oswald": "ossi", "patrizia": "trixi", "pavlina": "pavla", "quentin": "quint", "rafael": "rafa", "rosalinde": "rosi",
-    "sebastian": "bastian", "soren": "", "tatiana": "tanya", "theodora": "dora", "ulrike": "ulli", "umberto": "berto", "valentina": "valya", "veronika": "nika", "walburga": "burgl",
-    "wilhelm": "willi", "xenia": "ksenia", "yaroslav": "slava", "yolanda": "yoli", "zacharias": "zach", "zdenka": "",
-}
-
 #: Legal forms as words. Fixed values.
 LEGAL = frozenset(
     "ag aktiengesellschaft gmbh gesellschaft mbh inc incorporated llc limited liability company ltd bv besloten vennootschap sa societe anonyme ooo the co corp corporation plc nv kg oy ab".split()
 )
-#: Words for trades and reach in names of companies, with short forms that no rule gives. Fixed values.
-TRADES = {
-    "aviation": "avn", "breweries": "", "ceramics": "", "chemicals": "", "energy": "enrgy", "engineering": "engrg", "fisheries": "", "foods": "", "holding": "hldg", "insurance": "", "logistics": "",
-    "mining": "", "publishing": "publ", "shipping": "shpg", "telecom": "telco", "textiles": "", "timber": "", "trading": "trdg", "brothers": "bros", "international": "intl", "overseas": "os",
-}
-
 
 def fold(text: str) -> str:
     """Lower case in Latin letters without accents; letters that scripts write differently become one."""
@@ -94,40 +77,59 @@ def distance(a: str, b: str, limit: int = 99) -> int:
     return d[n + 1][m + 1]
 
 
-_FULL = {skeleton(g): g for g in GIVEN}
-_PLAIN = {g: g for g in GIVEN}
-_SHORT = {skeleton(s): g for g, shorts in GIVEN.items() for s in shorts.split()}
-_TRADE = {t: t for t in TRADES} | {s: t for t, shorts in TRADES.items() for s in shorts.split()}
+def _without_one(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(len(word))}
 
 
-def _near(word: str, vocabulary: dict[str, str], least: int = 5) -> str | None:
-    if word in vocabulary:
-        return vocabulary[word]
-    if len(word) < least:
-        return None
-    for known, full in vocabulary.items():
-        if abs(len(known) - len(word)) <= 1 and distance(known, word, 1) == 1:
-            return full
-    return None
+class Vocabulary:
+    """Words with what each stands for, found exactly or with one typing slip."""
 
+    def __init__(self, words: dict[str, str], weight: dict[str, int]) -> None:
+        self.words, self.weight = words, weight
+        self._met: dict[str, list[str]] | None = None
+
+    def __getstate__(self) -> tuple:
+        return self.words, self.weight
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+    def near(self, word: str, least: int) -> str | None:
+        """What a word of at least ``least`` letters stands for that is one edit from a known one: of several, the commonest."""
+        if len(word) < least:
+            return None
+        if self._met is None:
+            self._met = {}
+            for w in self.words:
+                for h in {w, *_without_one(w)}:
+                    self._met.setdefault(h, []).append(w)
+        met = {w for h in {word, *_without_one(word)} for w in self._met.get(h, ()) if distance(w, word, 1) == 1}
+        return self.words[min(met, key=lambda w: (-self.weight.get(w, 0), w))] if met else None
+
+
+def shortens(short: str, word: str) -> bool:
+    """Whether a word is written short: its first letters, or some of its letters in order with the same first and last, or the
+    same first three."""
+    if not 2 <= len(short) < len(word) or short[0] != word[0]:
+        return False
+    if len(short) >= 3 and word.startswith(short):
+        return True
+    if short[-1] != word[-1] and short[:3] != word[:3]:
+        return False
+    rest = iter(word)
+    return all(c in rest for c in short)
 
-@lru_cache(maxsize=200_000)
-def given_name(word: str) -> tuple[str, int] | None:
-    """(full form, certainty) of a word that is a known given name: 2 exactly or a pet form, 1 with one typing slip."""
-    s = skeleton(word)
-    if s in _FULL:
-        return _FULL[s], 2
-    if s in _SHORT:
-        return _SHORT[s], 2
-    found = _near(s, _FULL, 4) or _near(s, _SHORT, 5) or _near(word, _PLAIN, 5)
-    return (found, 1) if found else None
+
+def resembles(pet: str, full: str) -> bool:
+    """Whether a word may be a pet form of a longer one, which has its first three letters somewhere."""
+    return 3 <= len(pet) <= len(full) - 2 and pet[:3] in full
 
 
 @dataclass(frozen=True)
 class Name:
     """A parsed name: its key word (family name or a company's own word), and what else tells it apart.
 
-    rest: a person's given name in full, or a company's other words in order; initial: a person's only initial.
+    rest: a person's given name, or a company's other words in order; initial: a person's only initial.
     """
 
     kind: str
@@ -138,6 +140,9 @@ class Name:
 
 _SPLIT = re.compile(r"[\s,.;:\"«»“”()\-‐–/]+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿа-я])(?=[A-ZÀ-ÞА-Я])")
+_DOTTED = re.compile(r"(?<![^\W_])((?:[^\W\d_]\.){2,}[^\W\d_]?\.?)")
+_SLASHED = re.compile(r"\b([^\W\d_])/([^\W\d_])\b")
+_LEGAL_SLIPS = Vocabulary(dict.fromkeys(LEGAL, "legal"), {})
 
 
 def _longest(words: list[str]) -> str:
@@ -146,79 +151,122 @@ def _longest(words: list[str]) -> str:
 
 
 @lru_cache(maxsize=100_000)
-def person(name: str) -> Name | None:
-    """A person's name, in either order, with titles, initials, pet forms, slips, odd joins and other scripts."""
+def person_words(name: str) -> tuple[list[str], list[str], list[str]]:
+    """(long words, those of them before a comma, initials) of a person's name, folded, without titles and particles."""
     text = _CAMEL.sub(" ", unicodedata.normalize("NFC", name.strip()))
     if not re.search(r"[^\W\d_]", text):
-        return None
+        return [], [], []
     before = fold(text.split(",")[0]) if "," in text else ""
     words = [w.replace("'", "").replace("’", "") for w in _SPLIT.split(fold(text)) if w]
     words = [w for w in words if w not in TITLES and w not in PARTICLES and any(c.isalpha() for c in w)] or words
-    initials = [w for w in words if len(w) == 1]
     longer = [w for w in words if len(w) > 1]
-    if not longer:
-        return None
-    given: str | None = None
-    family = [w for w in longer if given_name(w) is None]
-    named = [w for w in longer if given_name(w) is not None]
-    if not family:
-        # every word is a known given name: the family name stands first before a comma, else last
-        ordered = sorted(named, key=lambda w: (given_name(w)[1], -longer.index(w) if not before else longer.index(w)))
-        family, named = ordered[:1], ordered[1:]
-    key = _longest(family) if not before else _longest([w for w in family if w in before] or family)
-    if named:
-        given = given_name(named[0])[0]
-    else:
-        others = [w for w in family if w != key]
-        given = _longest(others) if others else None
-    return Name("P", skeleton(key), given or "", "" if given else (initials[0] if initials else ""))
-
-
-@lru_cache(maxsize=50_000)
-def trade(word: str) -> str | None:
-    """The trade word that a word is, or is short for, or is a slip of."""
-    if word in _TRADE:
-        return _TRADE[word]
-    if len(word) >= 3:
-        for t in TRADES:
-            if t.startswith(word):
-                return t
-    found = _near(word, {t: t for t in TRADES}, 5)
-    if found:
-        return found
-    s = skeleton(word)
-    return next((t for t in TRADES if skeleton(t) == s or len(s) > 5 and distance(skeleton(t), s, 1) <= 1), None)
-
-
-_DOTTED = re.compile(r"(?<![^\W_])((?:[^\W\d_]\.){2,}[^\W\d_]?\.?)")
+    return longer, [w for w in longer if w in before] if before else [], [w for w in words if len(w) == 1]
 
 
-@lru_cache(maxsize=100_000)
-def company(name: str) -> Name | None:
-    """A company's name without its legal form, quotation marks, article and branch, in any order, with short forms."""
+def company_words(name: str) -> list[str]:
+    """The words of a company's name, folded, without its legal form, quotation marks, article and branch, in order."""
     text = unicodedata.normalize("NFC", name.strip())
-    text = re.sub(r"\([^)]*\)", " ", text)
-    text = re.sub(r"\b[oO]/[sS]\b", " overseas ", fold(text))
+    text = fold(re.sub(r"\([^)]*\)", " ", text))
+    text = _SLASHED.sub(r" \1\2 ", text)
     text = _DOTTED.sub(lambda m: m[1].replace(".", "") + " ", text)
     text = text.replace("g.m.b.h", "gmbh").replace("'", "")
     words = [w for w in _SPLIT.split(text) if w and any(c.isalpha() for c in w)]
-    own, trades = [], []
-    for w in words:
-        if w in LEGAL:
-            continue
-        t = trade(w)
-        if t:
-            trades.append(t)
-        elif len(w) == 1 or (len(w) > 5 and _near(w, dict.fromkeys(LEGAL, "legal"), 7)):
-            continue
+    return [w for w in words if w not in LEGAL] or words
+
+
+class Lexicon:
+    """What ``lexicon.learn`` found in a collection: its given names, with one form for all their variants, and the words that
+    many companies have in their names. Empty, names are told apart by their words alone."""
+
+    def __init__(self, given: dict[str, str] | None = None, weight: dict[str, int] | None = None, generic: dict[str, int] | None = None) -> None:
+        self.given = Vocabulary(given or {}, weight or {})
+        generic = generic or {}
+        # a generic word that shortens a commoner one stands for it
+        longer = {w: [t for t in generic if generic[t] > generic[w] and shortens(w, t)] for w in generic}
+        self.generic = Vocabulary({w: min(ts, key=lambda t: (-generic[t], t)) if ts else w for w, ts in longer.items()}, generic)
+        self._reset()
+
+    def _reset(self) -> None:
+        # of each form that stands for a given name: how common its variants are together, and how many they are
+        self.mass: dict[str, tuple[int, int]] = {}
+        for w, form in self.given.words.items():
+            mass, n = self.mass.get(form, (0, 0))
+            self.mass[form] = (mass + self.given.weight.get(w, 1), n + 1)
+        self.heard = Vocabulary({skeleton(w): self.generic.words[w] for w in sorted(self.generic.words, key=lambda w: (self.generic.weight[w], w))}, {})
+        self._names: dict[tuple[str, str], Name | None] = {}
+        self._trades: dict[str, str | None] = {}
+
+    def __getstate__(self) -> tuple:
+        return self.given, self.generic
+
+    def __setstate__(self, state: tuple) -> None:
+        self.given, self.generic = state
+        self._reset()
+
+    def given_name(self, word: str) -> tuple[str, int] | None:
+        """(the form that stands for a given name, certainty): 2 for a known one, 1 with one typing slip."""
+        s = skeleton(word)
+        if s in self.given.words:
+            return self.given.words[s], 2
+        found = self.given.near(s, 5)
+        return (found, 1) if found else None
+
+    def person(self, name: str) -> Name | None:
+        """A person's name, in either order, with titles, initials, variants, slips, odd joins and other scripts."""
+        longer, before, initials = person_words(name)
+        if not longer:
+            return None
+        known = {w: self.given_name(w) for w in longer}
+        family = [w for w in longer if known[w] is None]
+        named = [w for w in longer if known[w] is not None]
+        if not family:
+            # every word is a known given name: the family name stands first before a comma, else last
+            ordered = sorted(named, key=lambda w: (known[w][1], longer.index(w) if before else -longer.index(w)))
+            family, named = ordered[:1], ordered[1:]
+        key = _longest([w for w in family if w in before] or family)
+        if named:
+            given = known[named[0]][0]
         else:
-            own.append(w)
-    if not own:
-        return Name("C", skeleton(_longest(words)), " ".join(sorted(set(trades))), "") if words else None
-    key = _longest(own)
-    rest = sorted({*trades, *[w for w in own if w != key]})
-    return Name("C", skeleton(key), " ".join(rest), "")
-
-
-def parse(schema: str, name: str) -> Name | None:
-    return person(name) if schema == "Person" else company(name)
+            others = [w for w in family if w != key]
+            given = _longest(others) if others else ""
+        return Name("P", skeleton(key), given, "" if given else (initials[0] if initials else ""))
+
+    def trade(self, word: str) -> str | None:
+        """The generic word that a word is, or is short for, or is a slip of."""
+        if word not in self._trades:
+            known = self.generic.words
+            found = known.get(word)
+            if not found and len(word) >= 2:
+                short = [t for t in known if shortens(word, t)]
+                found = known[min(short, key=lambda t: (-self.generic.weight[t], t))] if short else None
+            found = found or self.generic.near(word, 5)
+            s = skeleton(word)
+            self._trades[word] = found or self.heard.words.get(s) or self.heard.near(s, 6)
+        return self._trades[word]
+
+    def company(self, name: str) -> Name | None:
+        """A company's name in any order, with short forms."""
+        words = company_words(name)
+        own, trades = [], []
+        for w in words:
+            t = self.trade(w)
+            if t:
+                trades.append((w, t))
+            elif len(w) > 1 and not (len(w) > 6 and _LEGAL_SLIPS.near(w, 7)):
+                own.append(w)
+        if not own:
+            if not words:
+                return None
+            # all words are generic: the one that fewest companies have tells most
+            key = min((t for _, t in trades), key=lambda t: (self.generic.weight[t], t)) if trades else _longest(words)
+            return Name("C", skeleton(key), " ".join(sorted({t for _, t in trades} - {key})), "")
+        key = _longest(own)
+        return Name("C", skeleton(key), " ".join(sorted({*[t for _, t in trades], *[w for w in own if w != key]})), "")
+
+    def parse(self, schema: str, name: str) -> Name | None:
+        at = ("P" if schema == "Person" else "C", name)
+        if at not in self._names:
+            if len(self._names) > 200_000:
+                self._names.clear()
+            self._names[at] = self.person(name) if at[0] == "P" else self.company(name)
+        return self._names[at]

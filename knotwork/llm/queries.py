@@ -11,7 +11,7 @@ from knotwork.llm.leaks import leaks
 from knotwork.llm.linkage import link
 from knotwork.llm.mixture import mixture, shares
 from knotwork.llm.sentences import sentence_units
-from knotwork.llm.spellings import variant_pairs
+from knotwork.llm.spellings import variant_classes, variant_pairs
 from knotwork.llm.survivors import Bundle, Dependency, survivors
 from knotwork.plans.registry import Registry
 from knotwork.sources.tables import table
@@ -117,6 +117,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(table(spark, sf_dir, "statements"), table(spark, sf_dir, "datasets"))
 
 
+@REGISTRY.query("p6_classes")
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each typed entity with its class of spellings, in place of pairs."""
+    return variant_classes(table(spark, sf_dir, "statements"), table(spark, sf_dir, "datasets"))
+
+
 @REGISTRY.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")

@@ -21,6 +21,7 @@ from knotwork.llm import spellings as P
 from knotwork.llm.distinctive import leading_terms
 from knotwork.llm.frequency import marked_terms
 from knotwork.llm.groups import components, consolidate
+from knotwork.llm.lexicon import learn
 from knotwork.llm.survivors import Bundle, Dependency, choose, information, survivors
 
 DATASETS = "name string, title string, kind string, trust int, parent string"
@@ -134,12 +135,24 @@ def linkage_rows():
 
 
 def test_linkage(make_statements, datasets):
-    frame = make_statements(linkage_rows(), extra=True)
+    frame = make_statements(linkage_rows() + collection(), extra=True)
     got = {(r.left_id, r.right_id): r.confidence for r in K.link(frame, datasets).collect()}
     assert {p for p, c in got.items() if c >= 0.5} == {("a", "b"), ("a", "c")} and all(0 <= c <= 1 for c in got.values())
     assert K.link(frame.limit(0), datasets).collect() == [] and K.link(frame, datasets.limit(0)).collect() == []
 
 
+def test_full_blocks_lose_no_pair(make_statements, datasets, monkeypatch):
+    """Candidates are the same whether a block is divided by names or not."""
+    rows = []
+    for i in range(12):
+        name = ("Olga Bansehski", "Olga Banshski", "Olga Vimlusberg", "O. Bansehski")[i % 4]
+        rows += [(f"n{i}", f"e{i:02}", f"e{i:02}", "name", "Person", name, ("reg", "watch", "media")[i % 3], None), (f"a{i}", f"e{i:02}", f"e{i:02}", "address", "Person", "Mill Lane 3, 98576 Town", ("reg", "watch", "media")[i % 3], None)]
+    known = K.records(make_statements(rows + collection()), datasets, ("register", "watchlist", "media"))
+    want = sorted(map(tuple, K.candidates(known, K.Weights()).collect()))
+    monkeypatch.setattr(K, "BLOCK_ENTITIES", 3)
+    assert sorted(map(tuple, K.candidates(known, K.Weights()).collect())) == want and len(want) > 20
+
+
 def test_split_blocks_agree(spark, monkeypatch):
     """Pairs of one group, solved whole and in blocks brought to consensus."""
     rng = random.Random(2)
@@ -199,15 +212,48 @@ def test_terms(spark):
 # 6: spellings
 
 
+FAMILIES = "dogfetidis kezmorsen vimlusberg hanbozescu tisrommann pukgopard".split()
+TRADES = "Breweries Ceramics Brothers Engineering Foods Energy".split()
+
+
+def collection():
+    """Statements of a register in which given names, two pet forms and company words can be learned."""
+    rows = []
+    for given in ("Katharina", "Ignatius", "Björn", "Amelie", "Helena", "Helene", "Olga", "Johanna"):
+        rows += [(f"{given}{f}", f"{given}{f}", f"NK-{given}{f}", "name", "Person", f"{given} {f.title()}", "reg", None) for f in FAMILIES]
+    for full, pet in (("Ignatius", "Naz"), ("Katharina", "Kati"), ("Amelie", "Mélie"), ("Olga", "Olya")):
+        for f in FAMILIES[:3]:  # merged with the full form
+            rows.append((f"{pet}{f}", f"{pet}{f}", f"NK-{full}{f}", "name", "Person", f"{f.title()}, {pet}", "reg", None))
+    for k, trade in enumerate(TRADES):
+        rows += [(f"{trade}{i}", f"{trade}{i}", f"{trade}{i}", "name", "Company", f"Wor{'abcdefghij'[i]}{'lmnopq'[k]}tok {trade} Ltd", "reg", None) for i in range(7)]
+    return rows
+
+
+def test_lexicon_is_learned(make_statements):
+    found = learn(make_statements(collection(), extra=True))
+    form = {w: found.given_name(w) for w in ("katharina", "kati", "naz", "melie", "helena", "helene", "katahrina", "dogfetidis", "worald")}
+    assert form["kati"] == form["katharina"] == ("katharina", 2) and form["katahrina"] == ("katharina", 1)
+    assert form["naz"] == ("ignatius", 2) and form["melie"] == ("amelie", 2) and form["helena"] != form["helene"] and form["dogfetidis"] is None
+    assert set(found.generic.words) == {t.lower() for t in TRADES}
+    assert learn(make_statements([])).given.words == {}
+    odd = [("a", None, None, "name", "Person", "Ann Bell", "reg", None), ("b", "b", None, "name", "Person", None, None, None), ("c", "c", None, "name", "Person", "", None, None), ("d", "d", None, "name", "Company", "w " * 5000, None, None)]
+    assert learn(make_statements(odd)).given.words == {}
+
+
 def test_names():
-    person = lambda s: (lambda n: (n.key, n.rest, n.initial))(N.person(s))
+    given = {N.skeleton(w): w for w in ("bjorn", "amelie", "yolanda")} | {"melie": "amelie"}
+    lexicon = N.Lexicon(given, dict.fromkeys(given, 9), {"ceramics": 90, "brothers": 99, "bros": 20, "engineering": 80, "foods": 70, "energy": 60})
+    person = lambda s: (lambda n: (n.key, n.rest, n.initial))(lexicon.person(s))
     same = ["Björn Bikmavboznaz", "Bikmavboznaz Björn", "BIKMAVBOZNAZ, BJÖRN", "Herr Björn de Bikmavboznaz", "Bjorn-Bikmavboznaz", "Бйорн Бикмавбозназ", "Bioern Bikmavboznaz", "BjörnX.Bikmavboznaz"]
     assert {person(s)[1] for s in same} == {"bjorn"} and len({person(s)[0] for s in same}) == 1
-    assert person("B. Bikmavboznaz")[1:] == ("", "b") and person("Mélie Xyzab")[1] == "amelie" and person("Yoli Xyzab")[1] == "yolanda"
-    firm = lambda s: (N.company(s).key, N.company(s).rest)
+    assert person("B. Bikmavboznaz")[1:] == ("", "b") and person("Mélie Xyzab")[1] == "amelie" and person("Yoladna Xyzab")[1] == "yolanda"
+    firm = lambda s: (lexicon.company(s).key, lexicon.company(s).rest)
     assert firm("The Hoffethampuk Ceramics Company") == firm('LLC "Hoffethampuk Ceramics"') == firm("Ceramics Hoffethampuk L.L.C. (Montarel branch)") == firm("HOFFETHAMPUK CERAM. LIMITED LIABILITY COMPANY")
     assert firm("Didvium Bros. Engrg SA") == firm("Didvium Brothers Engineering Société Anonyme") and firm("Didvium Energy") != firm("Didvium Foods")
-    assert N.person("?!") is None and N.person("") is None and N.company("") is None and N.person("x" * 5000).rest == ""
+    plain = N.Lexicon()
+    assert plain.person("?!") is None and plain.person("") is None and plain.company("") is None and plain.person("x" * 5000).rest == ""
+    assert N.shortens("shpg", "shipping") and N.shortens("publ", "publishing") and not N.shortens("mining", "mining") and not N.shortens("sh", "shipping")
+    assert N.resembles("desi", "desdemona") and not N.resembles("bjorn", "cornelius")
 
 
 @settings(max_examples=80, deadline=None)
@@ -243,13 +289,22 @@ def test_spellings(make_statements, datasets):
     }
     rows = [(f"s{k}", k, k, "name", "Company" if k[0] in "c" else "Person", v, "typed", None) for k, v in names.items()]
     rows += [("r1", "b2", "b2", "alias", "Person", "I. Dargoplifsap", "typed", None), ("r2", "q", "q", "name", "Person", "Katharina Dargoplifsap", "reg", None), ("r3", None, None, "name", "Person", "Katharina Dargoplifsap", "typed", None), ("r4", "q2", "q2", "name", "Person", None, "typed", None), rows[0]]
-    frame = make_statements(rows, extra=True)
+    frame = make_statements(rows + collection(), extra=True)
     got = {(r.left_id, r.right_id) for r in P.variant_pairs(frame, datasets).collect()}
     want = {p for group in (["a1", "a2", "a3", "a4", "a5"], ["b1", "b2", "b3"], ["c1", "c2"], ["f1", "f2"]) for p in itertools.combinations(group, 2)}
     assert got == want
+    classes = {r.entity_id: (r.class_id, r.members) for r in P.variant_classes(frame, datasets).collect()}
+    assert classes["a4"] == ("a1", 5) and classes["c2"] == ("c1", 2) and classes["c3"] == ("c3", 1)
     assert P.variant_pairs(frame.limit(0), datasets).collect() == []
 
 
+def test_rare_given_names(spark):
+    """Slips and pet forms that no lexicon knows, in one cell: they go to commoner names, known ones stay apart."""
+    cell = [("helena", 9, 1, 3), ("helene", 8, 1, 3), ("helnea", 0, 0, 1), ("desdemona", 7, 1, 2), ("desi", 2, 1, 1), ("sebastian", 9, 2, 1), ("basil", 9, 2, 1), ("bas", 0, 0, 1), ("quo", 0, 0, 1)]
+    frame = spark.createDataFrame([("P", "x", *row) for row in cell], "kind string, pivot string, rest string, mass long, forms int, n long")
+    assert {(r.rest, r.full) for r in P.given_slips(frame).collect()} == {("helnea", "helena"), ("desi", "desdemona")}
+
+
 def test_cells_against_all_distances(spark):
     rng = random.Random(9)
     base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 13))) for _ in range(12)]

@@ -56,5 +56,5 @@ def test_dependencies_hold_for_pruned_records(spark, make_statements):
 
 def test_unknown_names_in_any_order():
     for words in (["Anna", "Berg"], ["Zora", "Abel", "Timo"]):
-        assert len({N.person(" ".join(order)) for order in itertools.permutations(words)}) == 1
-    assert N.company("Abcd Wxyz Foods Ltd") == N.company("Wxyz Abcd Foods Ltd")
+        assert len({N.Lexicon().person(" ".join(order)) for order in itertools.permutations(words)}) == 1
+    assert N.Lexicon().company("Abcd Wxyz Foods Ltd") == N.Lexicon().company("Wxyz Abcd Foods Ltd")
