@@ -1,8 +1,10 @@
 """Counts of every distinct term by heavy-light aggregation.
 
-Method: terms that are heavy are detected in one pass by a mergeable sketch (it only chooses the route, never a count)
-and broadcast; their occurrences are added up in exact counter arrays inside each task, so a heavy term leaves a task
-as one row. Only the remaining terms are shuffled. Both tables are united.
+Method: terms that are heavy are detected in one pass by a mergeable sketch (it only chooses the route, never a count) and
+broadcast as small numbers. Their occurrences are dealt over all tasks by record and added up in task-local counters, of which
+each task has at most ``HEAVY``, so a heavy term leaves a task as one row; only the remaining terms, each of which has less
+than a ``HEAVY``-th of all rows, are partitioned by term. Both tables are united. A row that is repeated counts once, which no
+task can tell from its own rows: so heavy rows are shuffled too, but as record and number instead of text.
 """
 
 from __future__ import annotations
@@ -10,45 +12,22 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Most terms that may count as heavy: the size of the broadcast table and of the counter arrays.
-HEAVY = 256
+from knotwork.session import Scratch
+
+#: A term with at least this part of all rows is heavy, so there are at most so many.
+HEAVY = 1024
+#: Parts a heavy term is dealt to.
+SALTS = 64
 
 
 def _norm(token: str) -> str:
     return unicodedata.normalize("NFC", token.strip().lower())
 
 
-def occurrences(entries: DataFrame) -> DataFrame:
-    """(id, token, count): how often each record has each token, tokens in lower case, composed, without outer space.
-
-    Rows repeated in all of schema, id, field, token and count are one; rows with a null id or token, or a count null or
-    below one, are no occurrence. Repeats are dropped within Arrow batches before the only shuffle, which is keyed by
-    record and token, so neither a hot token nor a hot record nor a row repeated many times makes a hot partition.
-    """
-    rows = entries.where("id IS NOT NULL AND token IS NOT NULL AND `count` >= 1").select("schema", "id", "field", "token", F.col("count").cast("long").alias("count"))
-
-    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table.group_by(table.column_names).aggregate([]).combine_chunks()
-            raw = table["token"].to_pylist()
-            term = [_norm(t) for t in raw]
-            key = [_pack(i) for i in table["id"].to_pylist()]
-            spelling = [None if r == t else r for r, t in zip(raw, term, strict=True)]
-            columns = [pa.array(key, pa.binary()), pa.array(term, pa.string()), pa.array(spelling, pa.string()), table["schema"], table["field"], table["count"]]
-            yield from pa.Table.from_arrays(columns, names=["key", "token", "spelling", "schema", "field", "count"]).to_batches()
-
-    schema = "key binary, token string, spelling string, schema string, field string, count bigint"
-    keyed = rows.mapInArrow(normalise, schema).repartition("key", "token")
-    return keyed.distinct().groupBy("key", "token").agg(F.sum("count").alias("count"))
-
-
 def _pack(identifier: str) -> bytes:
     """As functions.keys.pack."""
     if len(identifier) == 40 and not identifier.strip("0123456789abcdef"):
@@ -56,54 +35,63 @@ def _pack(identifier: str) -> bytes:
     return b"\x00" + identifier.encode()
 
 
-def heavy_terms(entries: DataFrame) -> DataFrame:
-    """(k, token): at most ``HEAVY`` terms, found by a sketch over all rows; a table of proven size."""
-    raw = entries.where("token IS NOT NULL").select(F.lower(F.trim("token")).alias("t")).agg(F.expr(f"approx_top_k(t, {HEAVY}, {HEAVY * 32})").alias("top")).head().top or []
-    found = sorted({_norm(x["item"]) for x in raw})
-    return entries.sparkSession.createDataFrame([(k, t) for k, t in enumerate(found)], "k int, token string")
+def valid(entries: DataFrame) -> DataFrame:
+    """The rows that are occurrences: with id and token, and a count of at least one."""
+    return entries.where("id IS NOT NULL AND token IS NOT NULL AND `count` >= 1")
 
 
-def _counters(size: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for batch in batches:
-            k = batch.column(0).to_numpy()
-            records += np.bincount(k, minlength=size)
-            np.add.at(total, k, batch.column(1).to_numpy())
-        some = np.flatnonzero(records)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(records[some]), pa.array(total[some])], names=["k", "records", "total"])
+def heavy_terms(entries: DataFrame) -> list[str]:
+    """The terms with at least a ``HEAVY``-th of all rows, by a sketch of bounded size over all rows."""
+    plain = F.lower(F.trim("token"))
+    seen = valid(entries).select(plain.alias("t")).agg(F.expr(f"approx_top_k(t, {HEAVY}, {HEAVY * 16})").alias("top"), F.count("*").alias("n")).head()
+    return sorted({_norm(x["item"]) for x in seen.top or [] if x["count"] * HEAVY >= seen.n})
 
-    return count
 
+def occurrences(entries: DataFrame, heavy: list[str]) -> DataFrame:
+    """(key, token, k, salt, count): how often each record has each token, tokens in lower case, composed, without outer space.
 
-def split(pairs: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The occurrences of heavy terms (with k) and those of all other terms."""
-    return pairs.join(F.broadcast(heavy), "token"), pairs.join(F.broadcast(heavy), "token", "left_anti")
+    A heavy token has its number as k and no text; any other has k -1 and salt 0, and all its rows lie in one partition. Rows
+    repeated in all of schema, id, field, token and count are one; rows with a null id or token, or a count null or below one,
+    are no occurrence. Repeats are dropped within Arrow batches before the only shuffle.
+    """
+    rows = valid(entries).select("schema", "id", "field", "token", F.col("count").cast("long").alias("count"))
+    number = {t: k for k, t in enumerate(heavy)}
 
+    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.group_by(table.column_names).aggregate([]).combine_chunks()
+            raw = table["token"].to_pylist()
+            term = [_norm(t) for t in raw]
+            key = [_pack(i) for i in table["id"].to_pylist()]
+            spelling = [None if r == t else r for r, t in zip(raw, term, strict=True)]
+            ks = [number.get(t, -1) for t in term]
+            text = [t if k < 0 else None for t, k in zip(term, ks, strict=True)]
+            columns = [pa.array(key, pa.binary()), pa.array(text, pa.string()), pa.array(ks, pa.int32()), pa.array(spelling, pa.string()), table["schema"], table["field"], table["count"]]
+            yield from pa.Table.from_arrays(columns, names=["key", "token", "k", "spelling", "schema", "field", "count"]).to_batches()
 
-def heavy_counts(occurring: DataFrame, heavy: DataFrame) -> DataFrame:
-    """(token, records, total) of the heavy terms from the tasks' counter arrays."""
-    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("records", T.LongType()), T.StructField("total", T.LongType())])
-    counted = occurring.select("k", "count").mapInArrow(_counters(HEAVY), schema)
-    summed = counted.groupBy("k").agg(F.sum("records").alias("records"), F.sum("total").alias("total"))
-    return summed.join(F.broadcast(heavy), "k").select("token", "records", "total")
+    schema = "key binary, token string, k int, spelling string, schema string, field string, count bigint"
+    keyed = rows.mapInArrow(normalise, schema).withColumn("salt", F.when(F.col("k") >= 0, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
+    return keyed.repartition("token", "k", "salt").distinct().groupBy("key", "token", "k", "salt").agg(F.sum("count").alias("count"))
 
 
-def light_counts(occurring: DataFrame) -> DataFrame:
-    """(token, records, total) of terms that are not heavy."""
-    return occurring.groupBy("token").agg(F.count("*").alias("records"), F.sum("count").alias("total"))
+def records_of(entries: DataFrame) -> int:
+    """The number of records with any occurrence."""
+    return valid(entries).select("id").distinct().count()
 
 
-def term_counts(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, records, total) of every distinct term, and the one-row table (n) of the number of records."""
-    pairs, heavy = occurrences(entries), heavy_terms(entries)
-    hot, rest = split(pairs, heavy)
-    counts = heavy_counts(hot, heavy).unionByName(light_counts(rest))
-    return counts, pairs.select("key").distinct().agg(F.count("*").alias("n"))
+def named(frame: DataFrame, heavy: list[str]) -> DataFrame:
+    """The frame with the text of heavy terms in place of their numbers."""
+    texts = F.array(*[F.lit(t) for t in heavy]) if heavy else F.array(F.lit(None).cast("string"))
+    return frame.withColumn("token", F.coalesce("token", F.when(F.col("k") >= 0, F.get(texts, F.col("k"))))).drop("k")
 
 
 def marked_terms(entries: DataFrame, common_share: float = 0.05) -> DataFrame:
     """(token, records, total, mark): marked ``rare`` (one record), ``common`` (more than the share of all records) or null."""
-    counts, n = term_counts(entries)
-    share = F.lit(common_share) * n.scalar()
-    return counts.withColumn("mark", F.when(F.col("records") == 1, "rare").when(F.col("records") > share, "common"))
+    heavy = heavy_terms(entries)
+    parts = occurrences(entries, heavy).groupBy("token", "k", "salt").agg(F.count("*").alias("records"), F.sum("count").alias("total"))
+    parts = Scratch(entries.sparkSession, "terms").keep(parts)
+    hot = parts.where("k >= 0").groupBy("k").agg(F.sum("records").alias("records"), F.sum("total").alias("total")).withColumn("token", F.lit(None).cast("string"))
+    counts = named(parts.where("k < 0").drop("salt").unionByName(hot), heavy)
+    n = records_of(entries)
+    return counts.withColumn("mark", F.when(F.col("records") == 1, "rare").when(F.col("records") > common_share * n, "common"))

@@ -67,8 +67,8 @@ WITH term AS (
 @REGISTRY.query(
     "p3_found",
     _TERMS
-    + """SELECT id AS record_id, max_by(tok, (score, weight)) AS token FROM (
-  SELECT id, tok, c * ln(n / records) AS weight, c * ln(n / records) * (ln(n / records) + ln(1 - exp(-total::DOUBLE / n))) AS score FROM term JOIN stat USING (tok), size) GROUP BY id""",
+    + """SELECT id AS record_id, max_by(tok, (records <= 0.05 * n, score, weight, tok)) AS token FROM (
+  SELECT id, tok, n, records, c * ln(n / records) AS weight, c * (ln(n / records) + ln(1 - exp(-total::DOUBLE / n))) AS score FROM term JOIN stat USING (tok), size) GROUP BY id""",
 )
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leading_terms(table(spark, sf_dir, "entries")).select("record_id", "token")

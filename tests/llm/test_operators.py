@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from knotwork.functions.keys import unpack
+from knotwork.llm import frequency as Q
 from knotwork.llm import leaks as L
 from knotwork.llm import linkage as K
 from knotwork.llm import mixture as M
@@ -188,9 +189,13 @@ def brute_terms(rows):
     return pairs
 
 
-def test_terms(spark):
+@pytest.mark.parametrize("heavy", [1024, 8])
+def test_terms(spark, monkeypatch, heavy):
+    """With all terms heavy, and with most of them partitioned by term."""
+    monkeypatch.setattr(Q, "HEAVY", heavy)
     rows = entry_rows()
-    frame = clash(spark.createDataFrame(rows, ENTRY), "k", "key", "n", "records", "total")
+    frame = clash(spark.createDataFrame(rows, ENTRY), "k", "key", "n", "records", "total", "salt")
+    assert ("common" in Q.heavy_terms(frame)) and ("t3" in Q.heavy_terms(frame)) == (heavy > 8)
     pairs = brute_terms(rows)
     n = len({i for i, _ in pairs})
     records, total = Counter(t for _, t in pairs), Counter()
@@ -200,11 +205,10 @@ def test_terms(spark):
     assert {r.token: (r.records, r.total, r.mark) for r in marked_terms(frame).collect()} == want
     best = {}
     for (i, t), c in pairs.items():
-        idf = math.log(n / records[t])
-        score = c * idf * (idf + math.log(-math.expm1(-total[t] / n)))
-        best.setdefault(i, []).append(score)
+        score = c * (math.log(n / records[t]) + math.log(-math.expm1(-total[t] / n)))
+        best.setdefault(i, []).append((records[t] <= 0.05 * n, score))
     got = {r.record_id: r.score for r in leading_terms(frame).collect()}
-    assert got == {i: pytest.approx(max(s), abs=1e-9) for i, s in best.items()}
+    assert got == {i: pytest.approx(max(s)[1], abs=1e-9) for i, s in best.items()}
     empty = frame.limit(0)
     assert marked_terms(empty).collect() == [] and leading_terms(empty).collect() == []
 
