@@ -66,10 +66,10 @@ def clusters(edges: DataFrame) -> DataFrame:
     return label_components(live(edges).where(F.col("judgement") == POSITIVE).select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
-def linker(edges: DataFrame) -> DataFrame:
+def linker(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(node, canonical_id, head): canonical_id is the greatest member if that is canonical, else the node itself; head is
-    the greatest member in any case."""
-    found = clusters(edges)
+    the greatest member in any case. found: the clusters of the edges, if they are known."""
+    found = clusters(edges) if found is None else found
     heads = found.groupBy("label").agg(F.max(rank(F.col("node"))).alias("top"))
     joined = found.join(heads, "label")
     return joined.select("node", F.when(F.col("top.weight") > 1, F.col("top.id")).otherwise(F.col("node")).alias("canonical_id"), F.col("top.id").alias("head"))
@@ -102,13 +102,13 @@ def spanning(edges: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumnsRenamed({"left": "source", "right": "target"}).withColumns({"x": F.least("ll", "rl"), "y": F.greatest("ll", "rl")}).drop("ll", "rl")
 
 
-def judge(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def judge(pairs: DataFrame, edges: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(left, right, judgement) of pairs with the decisions between their clusters taken in.
 
     One id or one cluster: positive; two Wikidata items: negative; else a negative or unsure edge between the clusters
-    (the least word, if there are several); else no judgement.
+    (the least word, if there are several); else no judgement. found: the clusters of the edges, if they are known.
     """
-    found = clusters(edges)
+    found = clusters(edges) if found is None else found
     blockers = spanning(edges, found).where(F.col("judgement").isin(NEGATIVE, UNSURE) & (F.col("x") != F.col("y"))).groupBy("x", "y").agg(F.min("judgement").alias("blocker"))
     rows = _labelled(pairs.select("left", "right").distinct(), found).withColumns({"x": F.least("ll", "rl"), "y": F.greatest("ll", "rl")}).join(blockers, ["x", "y"], "left")
     two_items = (weight(F.col("left")) == 3) & (weight(F.col("right")) == 3)

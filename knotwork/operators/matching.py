@@ -221,12 +221,13 @@ def xref(
     from knotwork.operators.statements import pair_entities
 
     ranked = B.top_pairs(B.candidate_pairs(entries).withColumn("score", F.round("score", 6)), limit * limit_factor)
-    links = J.linker(edges)
+    clusters = J.clusters(edges)
+    links = J.linker(edges, clusters)
     canon = lambda c: links.select(F.col("node").alias(c), F.col("canonical_id").alias(f"{c}_c"))
     pairs = ranked.join(canon("lid"), "lid", "left").join(canon("rid"), "rid", "left")
     pairs = pairs.select(F.coalesce("lid_c", "lid").alias("left"), F.coalesce("rid_c", "rid").alias("right"), F.col("score").alias("blocking_score"))
     pairs = pairs.groupBy("left", "right").agg(F.max("blocking_score").alias("blocking_score"))
-    open_ = J.judge(pairs, edges).where(F.col("judgement") == J.UNDECIDED).select("left", "right")
+    open_ = J.judge(pairs, edges, clusters).where(F.col("judgement") == J.UNDECIDED).select("left", "right")
     both = pair_entities(pairs.join(open_, ["left", "right"], "left_semi"), entities).where(X.compatible(F.col("l"), F.col("r")))
     if focus:
         inside = F.array(*[F.lit(d) for d in focus])
