@@ -64,7 +64,7 @@ def components(links: DataFrame, peel_depth: int = 16) -> DataFrame:
     labels = reached.select("node", F.lit(top.u).alias("label"))
 
     # label what is left by minimum propagation over contracted links
-    mapping = label_components(rest)
+    mapping = label_components(rest, finish=0)
     if ended:
         return labels.unionByName(mapping)
     moved = mapping.where(F.col("node") == top.u).select("label").head()

@@ -16,6 +16,7 @@ CYRILLIC = str.maketrans(
     }
 )
 _LATIN = str.maketrans({"ß": "ss", "ø": "o", "œ": "oe", "æ": "ae", "đ": "d", "ł": "l", "þ": "th", "ı": "i"})
+_LETTERS = CYRILLIC | _LATIN
 
 #: Titles and particles, which tell persons apart no better than their absence. Fixed values.
 TITLES = frozenset("mr mrs ms miss mme mlle dr prof herr frau hr fr sr sra srta don doña el sir".split())
@@ -28,7 +29,10 @@ LEGAL = frozenset(
 
 def fold(text: str) -> str:
     """Lower case in Latin letters without accents; letters that scripts write differently become one."""
-    s = text.lower().translate(CYRILLIC).translate(_LATIN)
+    s = text.lower()
+    if s.isascii():
+        return s
+    s = s.translate(_LETTERS)
     if not s.isascii():
         s = "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
     return s

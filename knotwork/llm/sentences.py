@@ -5,8 +5,8 @@ closing marks, at line ends, and at spaces where the script of the line writes n
 over those points. A linear-chain model scores each point by sparse features of the words around it and each pair of
 neighbouring tags; Viterbi decoding finds the best sequence. Points inside a quotation can only be inside, points at blank
 lines and around list lines only boundary; decoding is constrained to that. The weights in ``sentence_model.json`` were
-trained by ``sentence_training`` with an averaged structured perceptron; for the script that writes no terminators the
-training labels come from sentences joined without punctuation.
+trained by ``sentence_training`` with an averaged structured perceptron; for scripts that write no terminators it learns from
+texts stripped of the breaks that show where their sentences end.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cache
-from pathlib import Path
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,8 +140,15 @@ def _kind(c: str) -> str:
     return c if c in "\"'«„“”»「」¿¡(§№-,.)%/&@" else "sign"
 
 
+_DIGITS = re.compile(r"\d+")
+_FIGURE = re.compile("[0-8]")
+_MARK = re.compile(rf"[{re.escape(TERMINATORS)}][{re.escape(TERMINATORS + CLOSERS)}\s]*$")
+_WHITE = re.compile(r"\s")
+_UNSPACED_TAIL, _SPACED_LEAD, _UNSPACED_END = re.compile(r"[^฀-๿]*$"), re.compile(r"[฀-๿]*"), re.compile(r"[^฀-๿]+$")
+
+
 def _plain(word: str) -> str:
-    return re.sub(r"\d+", "9", word.lower())[-14:]
+    return _DIGITS.sub("9", word.lower())[-14:]
 
 
 def features(text: str, left: int, right: int) -> list[str]:
@@ -149,8 +156,8 @@ def features(text: str, left: int, right: int) -> list[str]:
     low = max(0, left - REACH)
     a = max(low - 1, text.rfind(" ", low, left), text.rfind("\n", low, left), text.rfind("\xa0", low, left)) + 1
     whole = text[a:left]
-    mark = re.search(rf"[{re.escape(TERMINATORS)}][{re.escape(TERMINATORS + CLOSERS)}\s]*$", text[max(a, left - 8) : left])
-    term = re.sub(r"\s", "", mark[0]) if mark else ""
+    mark = _MARK.search(text[max(a, left - 8) : left])
+    term = _WHITE.sub("", mark[0]) if mark else ""
     body = whole[: len(whole) - len(mark[0])] if mark else whole
     body = body.lstrip("(\"'«„“「¿¡[")
     before_body = text[max(0, a - 12) : a].split()
@@ -177,13 +184,13 @@ def features(text: str, left: int, right: int) -> list[str]:
         f"lk={last}|{term}|{space}|{k}",
     ]
     if not term and SPACED.search(text[max(0, left - 80) : right + 80]):
-        tail = re.search(r"[^฀-๿]*$", whole)[0]
+        tail = _UNSPACED_TAIL.search(whole)[0]
         glued = len(tail) < len(whole)
-        lead = re.match(r"[฀-๿]*", nxt)[0]
+        lead = _SPACED_LEAD.match(nxt)[0]
         stop = SPACED.search(text, right, right + 2 * REACH)
         ahead = text[right : stop.start()] if stop else text[right : right + 60]
         verb = text[stop.start() : stop.start() + 4] if stop else ""
-        head = re.sub(r"[^฀-๿]+$", "", whole)[-5:]
+        head = _UNSPACED_END.sub("", whole)[-5:]
         words = ahead.split()
         out += [
             f"th={lead[:5]}|{k}",
@@ -202,15 +209,37 @@ class Model:
 
     def __init__(self, weights: dict[str, float], chain: list[list[float]]) -> None:
         self.weights, self.chain = weights, chain
+        self._seen: dict[tuple, float] = {}
+
+    def score(self, text: str, left: int, right: int) -> float:
+        """The weight of a point's features. What features see of most points is a short window, in which all figures are alike:
+        those scores are kept."""
+        if left > 2 and text[left - 1] in CLOSERS + TERMINATORS + " " and not SPACED.search(text, max(0, left - 80), right + 80):
+            low = max(0, left - REACH)
+            a = max(low - 1, text.rfind(" ", low, left), text.rfind("\n", low, left), text.rfind("\xa0", low, left)) + 1
+            word = _WORD.match(text, right, right + REACH)
+            at = max(0, a - 12)
+            window = (left - at, a - at, right - left, _FIGURE.sub("9", text[at : word.end() if word else right]))
+            found = self._seen.get(window)
+            if found is None:
+                if len(self._seen) > 300_000:
+                    self._seen.clear()
+                found = self._seen[window] = self._score(text, left, right)
+            return found
+        return self._score(text, left, right)
+
+    def _score(self, text: str, left: int, right: int) -> float:
+        get = self.weights.get
+        return sum([get(f, 0.0) for f in features(text, left, right)])
 
     def decode(self, text: str, at: list[tuple[int, int, int]]) -> list[bool]:
         """Viterbi: whether each point is a boundary."""
-        get, chain = self.weights.get, self.chain
+        chain, score = self.chain, self.score
         back: list[tuple[int, int]] = []
         low = -1e9
         inside, boundary = 0.0, low  # the text's start counts as inside
         for left, right, state in at:
-            s = 0.0 if state else sum(get(f, 0.0) for f in features(text, left, right))
+            s = 0.0 if state else score(text, left, right)
             a, b = inside + chain[0][0], boundary + chain[1][0]
             c, d = inside + chain[0][1], boundary + chain[1][1]
             back.append((int(b > a), int(d > c)))
@@ -229,7 +258,8 @@ class Model:
 
 @cache
 def model() -> Model:
-    stored = json.loads((Path(__file__).parent / "sentence_model.json").read_text(encoding="utf-8"))
+    # as a resource, so that it is found in a package shipped as a zip too
+    stored = json.loads(resources.files("knotwork.llm").joinpath("sentence_model.json").read_text(encoding="utf-8"))
     return Model(stored["weights"], stored["chain"])
 
 

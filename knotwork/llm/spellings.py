@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knotwork.functions.keys import meetings, pack, small, unpack
-from knotwork.llm.groups import components
 from knotwork.llm.lexicon import learn
 from knotwork.llm.names import Lexicon, distance, resembles
+from knotwork.operators.components import label_components
 from knotwork.session import Scratch
 
 COVER, RADIUS = 1, 2
@@ -99,6 +99,12 @@ def _near(left: DataFrame, right: DataFrame, most) -> DataFrame:
     b = right.select("kind", "key").mapInArrow(_variants(most), "kind string, key string, h bigint").withColumnRenamed("key", "other")
     # the optimiser takes the variants for as small as the keys, so it must not broadcast them
     met = a.join(b.hint("merge"), ["kind", "h"]).select("kind", "key", "other").distinct()
+    # letters that only one word has are no exchanges of neighbours, and these count two in the plain distance: a bound in the JVM
+    letters = lambda c: F.split(c, "")
+    foreign = F.greatest(F.size(F.array_except(letters(F.col("key")), letters(F.col("other")))), F.size(F.array_except(letters(F.col("other")), letters(F.col("key")))))
+    edits = 2 * (COVER + RADIUS)
+    plain = F.levenshtein(F.col("key"), F.col("other"), edits)
+    met = met.where((plain >= 0) & (plain + foreign <= edits))
     met = met.repartition(_tasks(met))  # few bytes, much work: not to be gathered into few tasks
     return met.withColumn("d", F.when(F.col("key") == F.col("other"), F.lit(0)).otherwise(_distance("key", "other")))
 
@@ -213,7 +219,7 @@ def same_names(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     # an entity's own names
     several = held.groupBy("e").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("e", "a")
     links = links.unionByName(held.join(several, "e").where("node <> a").select("a", F.col("node").alias("b")))
-    label = components(links)
+    label = label_components(links)
     return held.join(label.withColumnRenamed("label", "to"), "node", "left").select("e", F.coalesce("to", "node").alias("label")).distinct()
 
 

@@ -17,6 +17,7 @@ from knotwork.llm import leaks as L
 from knotwork.llm import linkage as K
 from knotwork.llm import mixture as M
 from knotwork.llm import names as N
+from knotwork.llm import sentence_training as T
 from knotwork.llm import sentences as S
 from knotwork.llm import spellings as P
 from knotwork.llm.distinctive import leading_terms
@@ -360,7 +361,7 @@ OTHER = "The harbour master, a certain Olga Vodkuard, counted 571 barrels but wr
 ZH = "守夜人在211号门登记了Helena Bozrudmann，其手中账簿标有K-449246/22，来自Norvik。表亲住在那里，保管第二套钥匙。"
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     items = spark.createDataFrame([(1, "en", ITEM), (2, "en", OTHER), (3, "zh", ZH), (4, "en", ""), (5, "en", None), (6, "en", "two words")], "item_id long, lang string, text string")
     plain = ITEM.replace("ö", "oe").upper().replace(",", "").replace(".", "")
     docs = {
@@ -370,7 +371,8 @@ def test_leaks(spark):
     frame = clash(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "k", "words", "item_id")
     got = {(r.doc_id, r.item_id) for r in L.leaks(frame, items).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (8, 3), (9, 1), (10, 1)}
-    assert {(r.doc_id, r.item_id) for r in L.leaks(frame, items, block_words=30).collect()} == got
+    monkeypatch.setattr(L, "MOST_BROADCAST", 0)  # all joins by shuffle
+    assert {(r.doc_id, r.item_id) for r in L.leaks(frame, items).collect()} == got
     assert L.leaks(frame.limit(0), items).collect() == [] and L.leaks(frame, items.limit(0)).collect() == []
 
 
@@ -443,6 +445,18 @@ def test_lines_and_scripts():
     assert sentences("登记表2.4版要求填写。书记员写道：“所有人没有到场。案卷仍未结束。”这家公司属于谁？") == ["登记表2.4版要求填写。", "书记员写道：“所有人没有到场。案卷仍未结束。”", "这家公司属于谁？"]
 
 
+def test_edges_of_unpunctuated_texts():
+    """Beginnings, names that end sentences and stripped breaks, from breaks alone."""
+    one, two = "กขคงจ9ง", "ฉชซฌญ ถทธนToft Quay"
+    texts = [f"{one}\n\n{two}\n\nAnn Lee ปผฝพฟ {one}", f"{two} {one}\n\nAnn Lee ปผฝพฟ", "Plain text.\n\nMore."] * 3
+    edges = T.Edges(texts)
+    assert edges.starts == {"กขคง", "ฉชซฌ"} and edges.follows == {"ปผฝพ"} and edges.tails == {"Toft Quay"}
+    joined, joints = T.stripped(f" {one}\n \n{two}\n\n\nX ")
+    assert joined == f"{one} {two} X" and [joined[a:] for a in sorted(joints)] == [f"{two} X", "X"]
+    assert T.spaced_rule(f"{two} Ann Lee ปผฝพฟ", len(two), len(two) + 1, edges) and not T.spaced_rule(f"{two} Ann Lee ปผฝพฟ", len(two) - 5, len(two) - 4, edges)
+    assert T.Edges([]).starts == set()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("aB.!? \n\"“”«»'9-。ก中;… ", max_size=60))
 def test_every_character_in_one_unit(text):
