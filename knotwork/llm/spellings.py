@@ -165,7 +165,7 @@ def given_slips(spelled: DataFrame) -> DataFrame:
 
     spelled: (kind, pivot, rest, mass, forms, n): how common the name is in all statements, with how many variants, and how many
     have it in the cell. A slip goes to the nearest name that is at least ten times as common, or known where it is not; a name
-    without known variants is a pet form of one at least twice as common, if the cell has only one that it can belong to.
+    without known variants is a pet form of a commoner one, if the cell has only one that it can belong to.
     """
     persons = spelled.where("kind = 'P' AND length(rest) >= 3")
     schema = "kind string, pivot string, rest string, mass bigint, forms int, n bigint"
@@ -176,7 +176,7 @@ def given_slips(spelled: DataFrame) -> DataFrame:
     met = strange.join(usual.hint("merge"), ["kind", "pivot", "h"]).where(F.col("rest") != F.col("full")).where(commoner)
     met = met.select("kind", "pivot", "rest", "full", "own", "mass", "n").distinct().withColumn("d", _kinship("rest", "full"))
     slip = (F.col("d") <= 2) & ((F.col("own") == 0) | (F.col("mass") >= 10 * F.col("own")))
-    pet = (F.col("d") == 3) & (F.col("mass") >= 2 * F.col("own"))
+    pet = (F.col("d") == 3) & (F.col("mass") > F.col("own"))
     best = F.struct("d", -F.col("mass"), -F.col("n"), "full")
     found = met.where(slip | pet).groupBy("kind", "pivot", "rest").agg(F.min(best).alias("b"), F.sum(F.when(F.col("d") == 3, 1).otherwise(0)).alias("pets"))
     return found.where("b.d <= 2 OR pets = 1").select("kind", "pivot", "rest", F.col("b.full").alias("full"))
