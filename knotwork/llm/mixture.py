@@ -2,20 +2,24 @@
 
 Method: hierarchical budgeting. Documents lie in a tree of domain, source and language; the token budget goes down the tree
 by weights, a node that cannot use its budget (its tokens times its permitted repeats) passes the shortage to its siblings
-first, and only what a whole family cannot use goes to the parent's siblings. Each leaf's budget becomes whole epochs and a
-prefix of one more, in an order seeded per epoch. Prefixes are cut on sums per range of the order, and only the one range
-that holds the cut is looked at document by document.
+first, and only what a whole family cannot use goes to the parent's siblings. By default the budget is the greatest with which
+every source reaches its target, so that no source is short; a greater one may be asked for, and then sources with a cap fall
+below their targets and the others rise above them, siblings first. Each leaf's budget becomes whole epochs and a prefix of one
+more, in an order seeded per epoch. Prefixes are cut on sums per range of the order, then per part of the one range that holds
+the cut, and only the last part is looked at document by document.
 """
 
 from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +30,7 @@ from knotwork.session import Scratch, spread
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The word pattern that byte-level vocabularies of this kind are made for. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Ranges of the seeded order per leaf.
+#: Ranges of the seeded order per leaf, and parts of the range that holds a cut.
 RANGES = 4096
 #: Languages by the codes in use. Fixed values.
 LANGUAGES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "rus": "ru", "ell": "el", "gre": "el", "ara": "ar", "hin": "hi", "zho": "zh", "chi": "zh", "jpn": "ja", "tha": "th"}
@@ -54,8 +58,10 @@ def _pieces(text: str, most: int = 20_000) -> Iterator[str]:
 
 
 def _counter(path: str):
+    """path: the vocabulary as sent with the job, by its name."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(SparkFiles.get(path)).encode_ordinary
         for batch in batches:
             sizes = [sum(len(encode(p)) for p in _pieces(t)) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64())], names=[*batch.schema.names[:-1], "tokens"])
@@ -112,13 +118,15 @@ def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, lang, tokens) of documents with a source and a text."""
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.where("source IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "source", language("lang").alias("lang"), "text")
-    return spread(rows).mapInArrow(_counter(tokenizer), f"doc_id {kind}, source string, lang string, tokens bigint")
+    documents.sparkSession.sparkContext.addFile(tokenizer)  # so that no executor needs the folder
+    return spread(rows).mapInArrow(_counter(os.path.basename(tokenizer)), f"doc_id {kind}, source string, lang string, tokens bigint")
 
 
-def budgets(leaves: list[tuple[str, str, int]], targets: list[tuple[str, str, float, int]], total: float | None) -> dict[tuple[str, str], float]:
+def budgets(leaves: list[tuple[str, str, int]], targets: list[tuple[str, str, float, int]], total: float | None, temperature: float = 1.0) -> dict[tuple[str, str], float]:
     """Tokens for each (source, language). leaves: (source, language, tokens); targets: (domain, source, share, repeats).
 
-    total: tokens of the mixture; by default those of all documents of the sources.
+    total: tokens of the mixture; by default the most with which each source that has any reaches its share of it.
+    temperature: languages of a source have their tokens to this power as weights; below 1 rare languages count more.
     """
     root = Node(1.0)
     by_source: dict[str, dict[str, int]] = {}
@@ -126,21 +134,31 @@ def budgets(leaves: list[tuple[str, str, int]], targets: list[tuple[str, str, fl
         by_source.setdefault(source, {})[lang] = by_source.get(source, {}).get(lang, 0) + tokens
     for domain, source, share, repeats in targets:
         node = Node(share, repeats=repeats)
-        # languages of a source have weights like their tokens
-        node.children = {lang: Node(float(tokens), tokens, repeats) for lang, tokens in by_source.get(source, {}).items()}
+        node.children = {lang: Node(float(tokens) ** temperature, tokens, repeats) for lang, tokens in by_source.get(source, {}).items()}
+        if node.capacity() <= 0:
+            continue
         family = root.children.setdefault(domain, Node(0.0))
         family.weight += share
         family.children[source] = node
-    wanted = total if total is not None else float(sum(t for s, _, t in leaves if any(s == x[1] for x in targets)))
-    root.spread(wanted)
+    sources = [node for family in root.children.values() for node in family.children.values() if node.weight > 0]
+    weights = sum(node.weight for node in sources)
+    root.spread(total if total is not None else min((node.capacity() * weights / node.weight for node in sources), default=0.0))
     return {(source, lang): leaf.budget for family in root.children.values() for source, node in family.children.items() for lang, leaf in node.children.items()}
 
 
-def mixture(documents: DataFrame, targets: DataFrame, *, total: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER, domain: str | None = None) -> DataFrame:
+def _cut(rows: DataFrame, part: str, before: str) -> DataFrame:
+    """(source, lang, part, before) of the part of each leaf's order in which its prefix ends, from one sum per leaf and part."""
+    sums = rows.groupBy("source", "lang", part).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"), F.first(before).alias("b"))
+    through = F.expr(f"b + SUM(t) OVER (PARTITION BY source, lang ORDER BY {part} ROWS UNBOUNDED PRECEDING)")
+    ends = sums.withColumn("through", through).where("through > rest").groupBy("source", "lang").agg(F.min_by(F.struct(part, (F.col("through") - F.col("t")).alias("before")), part).alias("c"))
+    return F.broadcast(ends.select("source", "lang", F.col(f"c.{part}").alias(f"cut_{part}"), F.col("c.before").alias(f"before_{part}")))  # one row per leaf
+
+
+def mixture(documents: DataFrame, targets: DataFrame, *, total: float | None = None, seed: int = 7, tokenizer: str = TOKENIZER, domain: str | None = None, temperature: float = 1.0) -> DataFrame:
     """(doc_id, source, lang, tokens, copies): how often each document is used; documents not used are left out.
 
-    targets: (source, target_share, max_repeats), shares in any unit; domain: a column of it that groups sources. A leaf
-    gets the documents of the seeded order as long as they fit its budget. Defined cases: documents without a source, text
+    targets: (source, target_share, max_repeats), shares in any unit; domain: a column of it that groups sources; total and
+    temperature: see ``budgets``; a total of ``math.inf`` is that of all documents of the sources. A leaf gets the documents of the seeded order as long as at least half of each fits its budget. Defined cases: documents without a source, text
     or doc_id belong to none; sources without target are not used; null ``max_repeats`` is one, null or negative shares are
     none; a source given twice counts with its greatest share; a repeated doc_id counts as several documents; equal places
     in the order: the lesser doc_id; an empty table gives no rows.
@@ -156,7 +174,8 @@ def mixture(documents: DataFrame, targets: DataFrame, *, total: float | None = N
     wanted = F.broadcast(goals.select("source"))
     docs = scratch.keep(sized(documents.join(wanted, "source", "left_semi"), tokenizer).where("tokens > 0"))
     leaf = docs.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).collect()  # sources with a target times known languages
-    budget = budgets([(r.source, r.lang, r.tokens) for r in leaf], goal_rows, total)
+    whole = float(sum(r.tokens for r in leaf)) if total == math.inf else total
+    budget = budgets([(r.source, r.lang, r.tokens) for r in leaf], goal_rows, whole, temperature)
     plan = []
     for r in leaf:
         b = budget.get((r.source, r.lang), 0.0)
@@ -165,20 +184,17 @@ def mixture(documents: DataFrame, targets: DataFrame, *, total: float | None = N
     schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("epochs", T.IntegerType()), T.StructField("rest", T.DoubleType())])
     leaves = F.broadcast(spark.createDataFrame(plan, schema))
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
-    placed = docs.join(leaves, ["source", "lang"]).withColumn("order", order).withColumn("range", F.shiftrightunsigned("order", 64 - int(math.log2(RANGES))))
-    # the range in which the last epoch's prefix ends, from one sum per leaf and range
-    sums = placed.groupBy("source", "lang", "range").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    window = "SUM(t) OVER (PARTITION BY source, lang ORDER BY range ROWS UNBOUNDED PRECEDING)"
-    cut = sums.withColumn("through", F.expr(window)).where("through > rest").groupBy("source", "lang").agg(F.min_by(F.struct("range", (F.col("through") - F.col("t")).alias("before")), "range").alias("c"))
-    cut = F.broadcast(cut.select("source", "lang", F.col("c.range").alias("cut"), F.col("c.before").alias("before")))
-    marked = placed.join(cut, ["source", "lang"], "left")
-    edge = marked.where("range = cut")
-    inside = edge.withColumn("through", F.expr("before + SUM(tokens) OVER (PARTITION BY source, lang ORDER BY `order`, doc_id ROWS UNBOUNDED PRECEDING)"))
-    extra = F.when(F.col("cut").isNull() | (F.col("range") < F.col("cut")), 1).otherwise(0)
+    bits = int(math.log2(RANGES))
+    placed = docs.join(leaves, ["source", "lang"]).withColumn("order", order).withColumn("range", F.shiftrightunsigned("order", 64 - bits)).withColumn("before", F.lit(0.0))
+    marked = placed.join(_cut(placed, "range", "before"), ["source", "lang"], "left")
+    inside = marked.where("range = cut_range").withColumn("part", F.shiftrightunsigned("order", 64 - 2 * bits) % RANGES)
+    inside = inside.join(_cut(inside, "part", "before_range"), ["source", "lang"], "left")
+    last = inside.where("part = cut_part").withColumn("through", F.expr("before_part + SUM(tokens) OVER (PARTITION BY source, lang ORDER BY `order`, doc_id ROWS UNBOUNDED PRECEDING)"))
     out = ["doc_id", "source", "lang", "tokens"]
-    whole = marked.where("cut IS NULL OR range <> cut").select(*out, (F.col("epochs") + F.when(F.col("rest") > 0, extra).otherwise(0)).alias("copies"))
-    part = inside.select(*out, (F.col("epochs") + F.when(F.col("through") <= F.col("rest"), 1).otherwise(0)).alias("copies"))
-    return whole.unionByName(part).where("copies > 0")
+    once = lambda chosen: (F.col("epochs") + F.when(F.col("rest") > 0, F.when(chosen, 1).otherwise(0)).otherwise(0)).alias("copies")
+    used = marked.where("cut_range IS NULL OR range <> cut_range").select(*out, once(F.col("cut_range").isNull() | (F.col("range") < F.col("cut_range"))))
+    used = used.unionByName(inside.where("cut_part IS NULL OR part <> cut_part").select(*out, once(F.col("cut_part").isNull() | (F.col("part") < F.col("cut_part")))))
+    return used.unionByName(last.select(*out, once(F.col("through") - F.col("tokens") / 2 <= F.col("rest")))).where("copies > 0")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

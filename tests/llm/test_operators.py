@@ -393,9 +393,14 @@ def test_budgets():
     got = M.budgets([("a", "en", 500), ("b", "en", 10), ("c", "en", 1000)], targets, 400)
     assert got == pytest.approx({("a", "en"): 280, ("b", "en"): 20, ("c", "en"): 100})
     assert sum(M.budgets(leaves, targets, 10**6).values()) == 100 + 100 + 100 + 1000
+    # by default as much as lets all reach their shares: b has 100 for its quarter; sources without tokens count for nothing
+    got = M.budgets(leaves, [*targets, ("y", "d", 0.5, 1)], None)
+    assert got == pytest.approx({("a", "en"): 100, ("a", "de"): 100, ("b", "en"): 100, ("c", "en"): 100})
+    warm = M.budgets([("a", "en", 900), ("a", "de", 100)], [("x", "a", 1.0, 2)], 900, 0.5)
+    assert warm == pytest.approx({("a", "en"): 700, ("a", "de"): 200}) and M.budgets([], targets, None) == {}
 
 
-def test_mixture(spark):
+def test_mixture(spark, monkeypatch):
     rows = [(i, "word " * (5 + i % 7), "en", "big" if i % 3 else "small") for i in range(600)] + [(900, "x", None, None), (901, None, "en", "big"), (902, "y", "EN", "alien"), (903, "", "en", "big"), (904, "long " * 30000, "de", "huge")]
     docs = clash(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "tokens", "range", "epochs")
     targets = spark.createDataFrame([("big", 0.3, 1), ("small", 0.6, 3), ("huge", 0.1, None), ("none", 0.2, 1)], "source string, target_share double, max_repeats int")
@@ -411,6 +416,10 @@ def test_mixture(spark):
     table = {r.source: r.share for r in M.shares(M.mixture(docs, targets, total=4000.0), targets).collect()}
     assert table["none"] == 0.0 and table["huge"] == 0.0 and sum(table.values()) == pytest.approx(1.0)
     assert M.mixture(docs.limit(0), targets).collect() == []
+    # the cut found in parts of a range is the one of a single running sum
+    few = sorted(map(tuple, M.mixture(docs, targets, total=4000.0).collect()))
+    monkeypatch.setattr(M, "RANGES", 2)
+    assert sorted(map(tuple, M.mixture(docs, targets, total=4000.0).collect())) == few
 
 
 # 10: sentences
