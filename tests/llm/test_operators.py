@@ -24,7 +24,7 @@ from knotwork.llm.distinctive import leading_terms
 from knotwork.llm.frequency import marked_terms
 from knotwork.llm.groups import components, consolidate
 from knotwork.llm.lexicon import learn
-from knotwork.llm.survivors import Bundle, Dependency, choose, information, survivors
+from knotwork.llm.survivors import FULL, Bundle, Dependency, choose, information, survivors
 
 DATASETS = "name string, title string, kind string, trust int, parent string"
 
@@ -74,30 +74,37 @@ def test_search_against_all_choices():
     rng = random.Random(4)
     for _ in range(60):
         found = {b: [(rng.randrange(5), rng.randrange(9), rng.randrange(4), bytes([i]), bytes([rng.randrange(3)]), rng.choice("xyz")) for i in range(rng.randrange(1, 6))] for b in "012"}
-        deps = [Dependency("0", "1"), Dependency("1", "2")]
+        deps = [Dependency("0", "1"), Dependency("1", "2"), Dependency("0", "2", strict=False)]
         records = {b: defaultdict(set) for b in found}
         for b, cs in found.items():
             for c in cs:
                 records[b][c[4]].add(c[5])
 
-        def fits(left, right, d, found=found, records=records):
-            may = set().union(*[records[d.dependent].get(c[4], set()) for c in found[d.determinant] if c[5] == left[5]])
-            return not may or right[5] in may
+        def fits(by, d, found=found, records=records):
+            left, right = by.get(d.determinant), by.get(d.dependent)
+            may = set().union(*[records[d.dependent].get(c[4], set()) for c in found[d.determinant] if left and c[5] == left[5]])
+            return not left or not right or not may or right[5] in may
 
-        best = None
-        for pick in itertools.product(*found.values()):
-            by = dict(zip(found, pick, strict=True))
-            if all(fits(by[d.determinant], by[d.dependent], d) for d in deps):
-                total = tuple(sum(c[k] for c in pick) for k in range(3))
-                best = max(best, total) if best else total
+        def worth(by, fits=fits, deps=deps):
+            return (len(by), *[sum(c[k] for c in by.values()) for k in range(3)], -(not fits(by, deps[2])))
+
+        choices = ({b: c for b, c in zip(found, pick, strict=True) if c} for pick in itertools.product(*[[*cs, None] for cs in found.values()]))
         got = choose(found, deps)
-        assert best is None or tuple(sum(c[k] for c in got.values()) for k in range(3)) == best
+        assert worth(got) == max(worth(by) for by in choices if fits(by, deps[0]) and fits(by, deps[1]))
+
+
+def test_disagreeing_determinants_empty_one_bundle():
+    """Two numbers that state different forms: the form, or one of them, stays empty, not all three."""
+    a, b = (3, 1, 1, b"1", b"r", "n1"), (3, 1, 1, b"2", b"s", "m1")
+    form = [(2, 1, 1, b"3", b"r", "AG"), (2, 1, 1, b"4", b"s", "GmbH")]
+    got = choose({"0": [a], "1": [b], "2": form}, [Dependency("0", "2"), Dependency("1", "2")])
+    assert got == {"0": a, "1": b}
 
 
 def test_information(spark):
     rows = [("birthDate", "1970"), ("birthDate", "1970-02"), ("birthDate", "03.02.1970"), ("address", "Town"), ("address", "12345 Town"), ("address", "Main St 1, 12345 Town"), ("registrationNumber", "HR 12****"), ("registrationNumber", "HR 1234..."), ("registrationNumber", "HR 123456"), ("legalForm", "AG"), ("legalForm", "tba"), ("address", None)]
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, v string")
-    assert [r.x for r in frame.orderBy("i").select(information(F.col("p"), F.col("v")).alias("x")).collect()] == [1, 2, 3, 1, 2, 4, 2, 4, 15, 1, 0, 0]
+    assert [r.x for r in frame.orderBy("i").select(information(F.col("p"), F.col("v")).alias("x")).collect()] == [1, 2, 3, 1, 2, 4, 2, 4, FULL, 1, 0, 0]
 
 
 # 2: linkage
