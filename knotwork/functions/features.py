@@ -197,11 +197,6 @@ def person_name_jaro_winkler(q: Column, r: Column) -> Column:
     return F.when(either(q, r, "Person"), S.person_jaro(S.clean_set(names(q)), S.clean_set(names(r)))).otherwise(0.0)
 
 
-def aligned_names(q: Column, r: Column) -> Column:
-    """Words of names aligned by what they are: see ``similarity.aligned_score``."""
-    return S.aligned_words(S.clean_set(names(q)), S.clean_set(names(r)))
-
-
 def name_metaphone_match(q: Column, r: Column) -> Column:
     return S.metaphone_overlap(S.clean_set(names(q)), S.clean_set(names(r)))
 

@@ -132,48 +132,63 @@ def jaro_winkler(a: str, b: str, threshold: float = 0.7) -> float:
     return base + prefix * 0.1 * (1 - base)
 
 
-_METAPHONE = (
-    (r"^(?:kn|gn|pn|ae|wr)", lambda m: m[0][1]),
-    (r"^x", "s"),
-    (r"^wh", "w"),
-    (r"mb$", "m"),
-    (r"sch", "sk"),
-    (r"tch", "ch"),
-    (r"c(?=ia|h)", "x"),
-    (r"xh", "x"),
-    (r"c(?=[iey])", "s"),
-    (r"c", "k"),
-    (r"dg(?=[eyi])", "j"),
-    (r"d", "t"),
-    (r"gh(?![aeiou])", ""),
-    (r"gh", "g"),
-    (r"gn", "n"),
-    (r"g(?=[iey])", "j"),
-    (r"g", "k"),
-    (r"ck", "k"),
-    (r"ph", "f"),
-    (r"q", "k"),
-    (r"s(?=h|io|ia)", "x"),
-    (r"xh", "x"),
-    (r"t(?=ia|io)", "x"),
-    (r"th", "0"),
-    (r"v", "f"),
-    (r"w(?![aeiou])", ""),
-    (r"(?<=.)x", "ks"),
-    (r"y(?![aeiou])", ""),
-    (r"z", "s"),
-    (r"(?<=[aeiou])h(?![aeiou])", ""),
-)
+_VOWELS = frozenset("aeiou")
 
 
 @lru_cache(maxsize=100_000)
 def metaphone(word: str) -> str:
-    """A sound code by the rules of English spelling: consonants as heard, vowels only at the start."""
+    """The sound code of a word by the rules of Philips (1990): consonants as heard in English, vowels only at the start; 0 is th.
+
+    Letters other than a to z are left out.
+    """
     w = re.sub("[^a-z]", "", word.lower())
-    w = re.sub(r"([abd-z])\1", r"\1", w)
-    for pattern, to in _METAPHONE:
-        w = re.sub(pattern, to, w)
-    return (w[:1] + re.sub("[aeiou]", "", w[1:])).upper()
+    w = re.sub(r"([abd-z])\1+", r"\1", w)
+    if w[:2] in ("kn", "gn", "pn", "ae", "wr"):
+        w = w[1:]
+    elif w[:1] == "x":
+        w = "s" + w[1:]
+    elif w[:2] == "wh":
+        w = "w" + w[2:]
+    out = []
+    for i, c in enumerate(w):
+        before, after, then = w[i - 1] if i else "", w[i + 1 : i + 2], w[i + 1 : i + 3]
+        soft = after in ("e", "i", "y") and after != ""
+        if c in _VOWELS:
+            code = c if i == 0 else ""
+        elif c == "b":
+            code = "" if before == "m" and not after else "b"
+        elif c == "c":
+            if then == "ia" or after == "h":
+                code = "k" if before == "s" and after == "h" else "x"
+            else:
+                code = ("" if before == "s" else "s") if soft else "k"
+        elif c == "d":
+            code = "j" if then in ("ge", "gy", "gi") else "t"
+        elif c == "g":
+            if after == "h":
+                code = "k" if w[i + 2 : i + 3] in _VOWELS and len(w) > i + 2 else ""
+            elif after == "n" and w[i:] in ("gn", "gned"):
+                code = ""
+            elif before == "d" and soft:
+                code = ""
+            else:
+                code = "j" if soft and before != "g" else "k"
+        elif c == "h":
+            code = "" if before in ("c", "s", "p", "t", "g") and before or (before in _VOWELS and after not in _VOWELS) or not after and before in _VOWELS else "h"
+        elif c == "k":
+            code = "" if before == "c" else "k"
+        elif c == "p":
+            code = "f" if after == "h" else "p"
+        elif c == "s":
+            code = "x" if after == "h" or then in ("io", "ia") else "s"
+        elif c == "t":
+            code = "x" if then in ("ia", "io") else "0" if after == "h" else "" if then == "ch" else "t"
+        elif c in ("w", "y"):
+            code = c if after in _VOWELS and after else ""
+        else:
+            code = {"q": "k", "v": "f", "x": "ks", "z": "s"}.get(c, c)
+        out.append(code)
+    return "".join(out).upper()
 
 
 def _pairs(function):  # noqa: ANN001, ANN202
@@ -290,70 +305,8 @@ ORG_CLASSES = {
     "ltd": "llc", "limited": "llc", "llc": "llc", "gmbh": "llc", "bv": "llc", "ooo": "llc", "sarl": "llc", "inc": "corp", "incorporated": "corp", "corp": "corp", "corporation": "corp", "ag": "corp", "sa": "corp",
     "aktiengesellschaft": "corp", "company": "co", "co": "co",
 }
-#: Weight of a pair of words by its kind, and of words without partner on either side. Fixed values.
-WORD_WEIGHTS = {"class": 0.7, "initial": 0.5, "number": 1.3, "word": 1.0}
-WORD_SCORES = {"class": 0.8, "initial": 0.9, "number": 1.0}
-EXTRA_QUERY, EXTRA_RESULT = 0.8, 0.2
-
-
-def _word_kind(word: str) -> str:
-    return "class" if word in ORG_CLASSES else "initial" if len(word) == 1 and word.isalpha() else "number" if word.isdigit() else "word"
-
-
-def _edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
-
-
-def _word_pair(a: str, b: str) -> tuple[float, str]:
-    """(score, kind) of two words."""
-    ka, kb = _word_kind(a), _word_kind(b)
-    if ka == kb == "class":
-        return (1.0 if a == b else WORD_SCORES["class"] if ORG_CLASSES[a] == ORG_CLASSES[b] else 0.0), "class"
-    if "number" in (ka, kb):
-        return (1.0 if a == b else 0.0), "number"
-    if "initial" in (ka, kb) and "class" not in (ka, kb):
-        return (1.0 if a == b else WORD_SCORES["initial"] if a[0] == b[0] else 0.0), "initial"
-    if "class" in (ka, kb):
-        return 0.0, "class"
-    longer = max(len(a), len(b))
-    allowed = longer // 4
-    edits = _edits(a, b) if abs(len(a) - len(b)) <= allowed else longer
-    return (1.0 if a == b else 0.0 if edits > allowed else (1 - edits / longer) ** allowed), "word"
-
-
-def aligned_score(left: list[str], right: list[str]) -> float:
-    """The best over all pairs of names of the weighted mean of their words' scores.
-
-    Each word is paired with one of the other side, best pairs first; legal forms count less, numbers more, an initial stands
-    for a word; words of the first without partner count nearly in full as misses, those of the second little.
-    """
-    best = 0.0
-    for x in left:
-        for y in right:
-            a, b = x.split(), y.split()
-            scored = sorted(((*_word_pair(p, o), i, j) for i, p in enumerate(a) for j, o in enumerate(b)), key=lambda t: (-t[0], t[2], t[3]))
-            used_a: set[int] = set()
-            used_b: set[int] = set()
-            total = weight = 0.0
-            for score, kind, i, j in scored:
-                if score > 0 and i not in used_a and j not in used_b:
-                    used_a.add(i)
-                    used_b.add(j)
-                    total += score * WORD_WEIGHTS[kind]
-                    weight += WORD_WEIGHTS[kind]
-            weight += sum(EXTRA_QUERY * WORD_WEIGHTS[_word_kind(w)] for i, w in enumerate(a) if i not in used_a)
-            weight += sum(EXTRA_RESULT * WORD_WEIGHTS[_word_kind(w)] for j, w in enumerate(b) if j not in used_b)
-            if weight:
-                best = max(best, total / weight)
-    return best
 
 
-aligned_words = _pairs(aligned_score)
 jaro_parts = _pairs(_parts_score)
 whole_or_parts = _pairs(_whole_score)
 person_jaro = _pairs(_person_score)

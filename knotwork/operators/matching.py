@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import features as X
 from knotwork.functions.features import Weighted
+from knotwork.functions.name_parts import NameConfig, name_score
 
 
 @dataclass(frozen=True)
@@ -105,17 +106,23 @@ LOGIC_V1 = Algorithm(
 )
 
 
-def _consolidated_name(q: Column, r: Column) -> Column:
-    """Best of equal names, words aligned by what they are, and names of things."""
-    words = F.greatest(X.name_literal_match(q, r), X.aligned_names(q, r))
-    things = F.greatest(X.name_literal_match(q, r), X.object_names(q, r))
-    return F.when(X.either(q, r, "LegalEntity"), words).otherwise(things)
+def name_feature(config: NameConfig = NameConfig(), prop: str | None = None) -> X.Feature:  # noqa: B008
+    """The name feature of the second rule scorer with settings; prop: the only property whose values are names."""
+    names = X.names if prop is None else lambda e: X.values(e, prop)
+
+    def name_match(q: Column, r: Column) -> Column:
+        """Names aligned part by part; those of things strictly."""
+        aligned = name_score(q, r, names, X.values, X.either(q, r, "Person"), config)
+        things = F.greatest(X.name_literal_match(q, r), X.object_names(q, r))
+        return F.when(X.either(q, r, "LegalEntity"), aligned).otherwise(things)
+
+    return name_match
 
 
 LOGIC_V2 = Algorithm(
     "logic-v2",
     (
-        Weighted("name_match", _consolidated_name, 1.0),
+        Weighted("name_match", name_feature(), 1.0),
         Weighted("address_entity_match", X.address_entity_match, 0.98),
         Weighted("crypto_wallet_address", X.crypto_wallet_address, 0.98),
         *[Weighted(f"{f}_code_match", X.format_match(f), 0.98 if f == "isin" else 0.95) for f in ("isin", "lei", "ogrn", "imo", "inn", "bic", "uei", "npi")],
@@ -129,6 +136,20 @@ LOGIC_V2 = Algorithm(
     ),
 )
 
+#: Settings of the second rule scorer, with their defaults. Fixed values.
+LOGIC_V2_SETTINGS = {"nm_name_property": None, "nm_number_mismatch": 0.3, "nm_extra_query_name": 0.8, "nm_extra_result_name": 0.2, "nm_family_name_weight": 1.3, "nm_fuzzy_cutoff_factor": 1.0}
+
+
+def logic_v2(**settings: float | str | None) -> Algorithm:
+    """The second rule scorer with some of ``LOGIC_V2_SETTINGS`` changed."""
+    if unknown := set(settings) - set(LOGIC_V2_SETTINGS):
+        raise ValueError(f"no settings {sorted(unknown)}")
+    x = LOGIC_V2_SETTINGS | settings
+    config = NameConfig(x["nm_number_mismatch"], x["nm_extra_query_name"], x["nm_extra_result_name"], x["nm_family_name_weight"], x["nm_fuzzy_cutoff_factor"])
+    changed = Weighted("name_match", name_feature(config, x["nm_name_property"]), 1.0)
+    return Algorithm(LOGIC_V2.name, tuple(changed if f.name == "name_match" else f for f in LOGIC_V2.features))
+
+
 #: Features of the two regression scorers, in order.
 REGRESSION_V1: dict[str, X.Feature] = {
     "name_match": X.name_match, "name_token_overlap": X.name_token_overlap, "name_numbers": X.name_numbers, "name_levenshtein": X.name_levenshtein, "phone_match": X.phone_match, "email_match": X.email_match,

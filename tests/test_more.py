@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork.functions import features as X
+from knotwork.functions import name_parts as N
+from knotwork.functions import similarity as S
 from knotwork.operators import enrich as E
 from knotwork.operators import items as I
 from knotwork.operators import matching as M
@@ -181,12 +183,71 @@ def test_answers_of_sources(spark):
     assert len(E.query_rows(known).collect()) == 5 and len(E.query_rows(known, 1).collect()) == 2
 
 
-def test_aligned_words():
-    from knotwork.functions.similarity import aligned_score as score
-
-    assert score(["acme widgets ltd"], ["widgets acme limited"]) > 0.9 > score(["acme widgets ltd"], ["acme gadgets ltd"]) > 0.3
-    assert score(["j smith"], ["john smith"]) > 0.95 and score(["fund 7"], ["fund 8"]) < 0.6 and score([], ["x"]) == 0.0
-    assert score(["john smith"], ["john peter smith"]) > score(["john peter smith"], ["john smith"])
+NONE = (frozenset(),) * 4
+
+
+@pytest.mark.parametrize(
+    ("person", "query", "result", "low", "high"),
+    [
+        (False, "Acme Widgets Ltd", "Widgets Acme Limited", 0.9, 1.0),
+        (False, "Acme Widgets Ltd", "Acme Gadgets Ltd", 0.3, 0.75),
+        (False, "Acme Widgets GmbH", "Acme Widgets LLC", 0.85, 0.99),
+        (False, "Acme Widgets", "Acme Widgets AG", 0.9, 0.99),
+        (False, "Acme International", "Acme Intl.", 0.9, 1.0),
+        (False, "Alpha Beta International", "Gamma Beta International", 0.2, 0.65),
+        (False, "Growth Fund 7", "Growth Fund VII", 0.9, 1.0),
+        (False, "Growth Fund 7", "Growth Fund 8", 0.0, 0.5),
+        (False, "Siltov Russia", "Siltov", 0.4, 0.7),
+        (False, "Siltov", "Siltov Russia", 0.85, 0.99),
+        (False, "Norvik Shipping", "Norvik Shpg", 0.9, 1.0),
+        (False, "Quarren", "Quarrel", 0.5, 0.95),
+        (True, "J. Brennhaven", "John Brennhaven", 0.9, 0.99),
+        (True, "John Brennhaven", "Brennhaven, John", 0.99, 1.0),
+        (True, "Bill Brennhaven", "William Brennhaven", 0.7, 0.95),
+        (True, "John Brennhaven", "John Kulseth", 0.0, 0.6),
+        (True, "John Brennhaven", "John Brennhavn", 0.6, 0.99),
+        (True, "John Brennhaven", "John Peter Brennhaven", 0.85, 0.99),
+        (True, "John Peter Brennhaven", "John Brennhaven", 0.6, 0.85),
+        (True, "José Brennhaven", "Jose Brennhaven", 1.0, 1.0),
+        (True, "Ann Bo", "Ann Bi", 0.0, 0.6),
+        (True, "", "Ann", 0.0, 0.0),
+    ],
+)
+def test_names_part_by_part(person, query, result, low, high):
+    score = N.score_names([query], [result], person, NONE, N.NameConfig())
+    assert low <= score <= high, score
+
+
+def test_tags_settings_and_pruning():
+    tags = (frozenset(["martin"]), frozenset(["james"]), frozenset(["james"]), frozenset(["martin"]))
+    assert N.score_names(["Martin James"], ["James Martin"], True, tags, N.NameConfig()) < 0.5 < N.score_names(["Martin James"], ["James Martin"], True, NONE, N.NameConfig())
+    family = (frozenset(), frozenset(["kulseth"]), frozenset(), frozenset(["berg"]))
+    assert N.score_names(["Ann Kulseth"], ["Ann Berg"], True, family, N.NameConfig()) < N.score_names(["Ann Kulseth"], ["Ann Berg"], True, NONE, N.NameConfig())
+    for changed, less in ((N.NameConfig(number_mismatch=0.0), False), (N.NameConfig(number_mismatch=0.9), True)):
+        assert (N.score_names(["Fund 7"], ["Fund 8"], False, NONE, changed) < N.score_names(["Fund 7"], ["Fund 8"], False, NONE, N.NameConfig())) == less
+    assert N.score_names(["Ann Lee Berg"], ["Ann Berg"], True, NONE, N.NameConfig(extra_query=0.1)) > N.score_names(["Ann Lee Berg"], ["Ann Berg"], True, NONE, N.NameConfig())
+    assert N.score_names(["Quarrenheim"], ["Quarrel"], False, NONE, N.NameConfig(cutoff=3.0)) > 0 == N.score_names(["Quarrenheim"], ["Quarrel"], False, NONE, N.NameConfig())
+    assert N.consolidate(["Ann Berg", "Ann Lee Berg", "ann  berg", "Berg", "", "Анна Берг"]) == ["Ann Lee Berg", "Анна Берг", "Berg"]
+    left, right = ["Ann Lee Berg", "Анна Берг"], ["Ann Berg", "A. Lee", "Берг Анна", "X"]
+    kept = N.name_pairs(left, right)
+    assert ("Анна Берг", "Берг Анна") in kept and ("Анна Берг", "Ann Berg") not in kept and N.name_pairs(left, right[:3]) == [(a, b) for a in left for b in right[:3]]
+    assert N.explain(N.align(N.parts("Ann Berg", True), N.parts("Ann X Berg", True), N.NameConfig())[1]) == "ann~ann:1.00, berg~berg:1.00, +x"
+
+
+def test_second_scorer_and_its_settings(spark):
+    rows = [("P", entity("a", "Person", name=["Ann Kulseth"], lastName=["Kulseth"]), entity("b", "Person", name="Kulseth, Ann")), ("C", entity("c", "Company", name="Fund 7"), entity("d", "Company", name="Fund 8", alias=[None])), ("N", entity("e", "Person"), entity("f", "Person", name="X"))]
+    frame = spark.createDataFrame(rows, f"k string, l {formats.ENTITY.simpleString()}, r {formats.ENTITY.simpleString()}")
+    got = {r.k: r.score for r in M.LOGIC_V2.score(frame).collect()}
+    soft = {r.k: r.score for r in M.logic_v2(nm_number_mismatch=0.0).score(frame).collect()}
+    only = {r.k: r.score for r in M.logic_v2(nm_name_property="alias").score(frame).collect()}
+    assert got["P"] == pytest.approx(1.0) and got["C"] < soft["C"] and got["N"] == 0.0 and only["P"] == 0.0
+    with pytest.raises(ValueError, match="nm_nothing"):
+        M.logic_v2(nm_nothing=1.0)
+
+
+def test_metaphone_codes():
+    codes = {"Knight": "NT", "Philip": "FLP", "Wright": "RT", "Science": "SNS", "Judge": "JJ", "Church": "XRX", "Dumb": "TM", "Nation": "NXN", "Think": "0NK", "Smith": "SM0", "Schmidt": "SKMTT", "Xavier": "SFR", "Aerial": "ERL", "": "", "Ы": ""}
+    assert {w: S.metaphone(w) for w in codes} == codes
 
 
 def test_stream(spark, make_statements, tmp_path):
