@@ -324,6 +324,29 @@ def security_isin_mismatch(q: Column, r: Column) -> Column:
 # places
 
 
+def territories(codes: Column, parents: dict[str, str] | None = None) -> Column:
+    """Country codes with the territories they belong to, by (territory, parent); a code as ``us-ca`` belongs to its first part."""
+    up = {k.lower(): v.lower() for k, v in (parents or {}).items()}
+    whole = F.array_union(codes, F.transform(codes, lambda c: F.substring_index(c, "-", 1)))
+    if not up:
+        return whole
+    known = F.create_map(*[F.lit(x) for kv in up.items() for x in kv])
+    for _ in range(3):  # a part of a part of a country
+        whole = F.array_union(whole, F.array_compact(F.transform(whole, lambda c: known[c])))
+    return whole
+
+
+def territory_overlap(parents: dict[str, str] | None = None) -> Feature:
+    """The feature that two entities' countries are the same, or one lies in the other."""
+
+    def overlap(q: Column, r: Column) -> Column:
+        a, b = countries(q), countries(r)
+        return flag(S.overlaps(territories(a, parents), b) | S.overlaps(a, territories(b, parents)))
+
+    overlap.__name__ = "territory_overlap"
+    return overlap
+
+
 def country_mismatch(q: Column, r: Column) -> Column:
     return flag(S.disjoint(countries(q), countries(r)))
 

@@ -125,9 +125,13 @@ def expand(starts: DataFrame, links: DataFrame, depth: int = 1) -> DataFrame:
     return seen
 
 
-def closure(parents: DataFrame, depth: int = 6) -> DataFrame:
-    """(name, ancestor, hop) of a hierarchy (name, parent), safe against cycles."""
-    edges = parents.where("parent IS NOT NULL").select("name", "parent").distinct()
+def closure(parents: DataFrame, depth: int = 6, *, ended: str | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(name, ancestor, hop) of a hierarchy (name, parent), safe against cycles.
+
+    ended: a column that is not null where a claim no longer holds; such claims are skipped, but for the parents in ``kept``.
+    """
+    holds = F.col("parent").isNotNull() if ended is None else F.col("parent").isNotNull() & (F.col(ended).isNull() | F.col("parent").isin(*kept))
+    edges = parents.where(holds).select("name", "parent").distinct()
     seen = parents.select("name", F.col("name").alias("ancestor")).distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -137,11 +141,37 @@ def closure(parents: DataFrame, depth: int = 6) -> DataFrame:
     return seen
 
 
-def reconcile(scores: DataFrame, threshold: float = 0.96) -> DataFrame:
-    """(left, right, score, action): each subject's best candidate, to be taken over above the threshold, else reviewed."""
-    window = W.partitionBy("left").orderBy(F.desc("score"), "right")
-    best = scores.withColumn("k", F.row_number().over(window)).where("k = 1").drop("k")
-    return best.withColumn("action", F.when(F.col("score") > threshold, "take").otherwise("review"))
+def reconcile(scores: DataFrame, threshold: float = 0.96, *, subjects: DataFrame | None = None, linked: DataFrame | None = None, create: bool = False) -> DataFrame:
+    """(left, right, score, action): each subject's best candidate, to be taken over above the threshold, else reviewed.
+
+    subjects: (left) of all subjects; those without a candidate are created if ``create`` is set, else left out. linked: (left,
+    right) of subjects that are linked already: they are only compared (``diff``), whatever their candidates.
+    """
+    best = scores.groupBy("left").agg(F.min(F.struct((-F.col("score")).alias("s"), "right")).alias("b")).select("left", "b.right", (-F.col("b.s")).alias("score"))
+    best = best.withColumn("action", F.when(F.col("score") > threshold, "take").otherwise("review"))
+    if linked is not None:
+        known = linked.groupBy("left").agg(F.min("right").alias("right"))
+        best = best.join(known.select("left"), "left", "left_anti").unionByName(known.select("left", "right", F.lit(None).cast("double").alias("score"), F.lit("diff").alias("action")))
+    if create and subjects is not None:
+        rest = subjects.select("left").distinct().join(best.select("left"), "left", "left_anti")
+        best = best.unionByName(rest.select("left", F.lit(None).cast(scores.schema["right"].dataType).alias("right"), F.lit(None).cast("double").alias("score"), F.lit("create").alias("action")))
+    return best
+
+
+def tenures(claims: DataFrame) -> DataFrame:
+    """(subject, position, start, end) of positions held (subject, position, start, end): one held more than once, in several
+    tenures, keeps no dates, as it is not known to which of them a date belongs."""
+    one = claims.distinct().groupBy("subject", "position").agg(F.count("*").alias("n"), F.first("start").alias("start"), F.first("end").alias("end"))
+    return one.select("subject", "position", F.when(F.col("n") == 1, F.col("start")).alias("start"), F.when(F.col("n") == 1, F.col("end")).alias("end"))
+
+
+def holders(positions: DataFrame, parents: DataFrame, held: DataFrame, depth: int = 6) -> DataFrame:
+    """(position, subject, hop): who holds each of some positions (position) or one below it, by the hierarchy (name, parent) and
+    the positions held (subject, position); the nearest way counts."""
+    below = closure(parents, depth).select(F.col("ancestor").alias("position"), F.col("name").alias("held"), "hop")
+    below = below.unionByName(positions.select("position", F.col("position").alias("held"), F.lit(0).alias("hop")))
+    found = below.join(positions.select("position").distinct(), "position", "left_semi").join(held.select("subject", F.col("position").alias("held")), "held")
+    return found.groupBy("position", "subject").agg(F.min("hop").alias("hop"))
 
 
 def review_queue(subjects: DataFrame, scores: DataFrame) -> DataFrame:
@@ -224,6 +254,58 @@ def project(answers: DataFrame, projection: Projection) -> DataFrame:
     return out.where("i IS NOT NULL AND i <> ''").select("key", F.concat_ws("-", F.lit(projection.prefix), F.lower(F.regexp_replace("i", "[^A-Za-z0-9]+", "-"))).alias("id"), F.lit(projection.schema).alias("schema"), "properties")
 
 
+def clean_query(name: Column) -> Column:
+    """A name as a search takes it: letters, figures and single spaces."""
+    return F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}]+", " "))
+
+
+def link_id(prop: Column, left: Column, right: Column, prefix: str = "wd") -> Column:
+    """The id of a relation of two items, the same from either side."""
+    return F.concat_ws("-", F.lit(prefix), F.lower(prop), F.lower(F.least(left, right)), F.lower(F.greatest(left, right)))
+
+
+def organisations(answers: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, id, schema, properties) of answers (key, text) about organisations: the id is that of the legal entity code, if there
+    is one, else the register's own; the place (a reference) becomes the country of (place, country)."""
+    found = project(answers, PROJECTIONS["organisations"])
+    lei = F.col("properties")["leiCode"][0]
+    at = F.get_json_object("r", "$.isDomiciledIn")
+    where = answers.select("key", F.explode(F.from_json(F.get_json_object("text", "$.organizations"), "array<string>")).alias("r"))
+    where = where.select("key", F.concat_ws("-", F.lit("permid"), F.lower(F.regexp_replace(F.get_json_object("r", "$.organizationId"), "[^A-Za-z0-9]+", "-"))).alias("id"), at.alias("place"))
+    named = where.join(places.groupBy("place").agg(F.min("country").alias("country")), "place").groupBy("key", "id").agg(F.min("country").alias("country"))
+    rows = found.join(named, ["key", "id"], "left")
+    props = F.when(F.col("country").isNotNull(), F.map_concat(F.map_filter("properties", lambda k, _: k != "country"), F.create_map(F.lit("country"), F.array("country")))).otherwise(F.col("properties"))
+    return rows.select("key", F.when(lei.isNotNull(), F.concat(F.lit("lei-"), lei)).otherwise(F.col("id")).alias("id"), "schema", props.alias("properties"))
+
+
+def securities(answers: DataFrame, issuers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Securities of answers (key, text) and (security, issuer) links. Only composite listings are kept, once each; an issuer (id,
+    name) is linked if its name is exactly that of the security."""
+    rows = answers.select("key", F.explode(F.from_json(F.get_json_object("text", "$.data"), "array<string>")).alias("r"))
+    listed = rows.where(F.get_json_object("r", "$.figi") == F.get_json_object("r", "$.compositeFIGI"))
+    kept = listed.select("key", F.to_json(F.struct(F.array(F.from_json("r", "map<string,string>")).alias("data"))).alias("text"))
+    found = project(kept, PROJECTIONS["securities"]).dropDuplicates(["id"])
+    named = found.select(F.col("id").alias("security"), F.explode("properties.name").alias("name"))
+    return found, named.join(issuers.select(F.col("id").alias("issuer"), "name"), "name").select("security", "issuer").distinct()
+
+
+def collection_entities(answers: DataFrame, collection: str) -> DataFrame:
+    """(key, id, schema, properties) of answers (key, text) of an archive that are entities of a collection, by its foreign id."""
+    at = F.get_json_object("text", "$.results")
+    rows = answers.select("key", F.explode(F.from_json(at, "array<string>")).alias("r")).where(F.get_json_object("r", "$.collection.foreign_id") == collection)
+    props = F.from_json(F.get_json_object("r", "$.properties"), "map<string,array<string>>")
+    out = rows.select("key", F.get_json_object("r", "$.id").alias("id"), F.get_json_object("r", "$.schema").alias("schema"), props.alias("properties"))
+    return out.where("id IS NOT NULL AND schema IS NOT NULL")
+
+
+def fetch_rule(status: Column, attempt: Column, delays: tuple[int, ...] = (1, 4, 9)) -> Column:
+    """What to do after an answer: keep it, keep it as empty (no content or unknown, so that it is not asked again), stop (no
+    permission), use stored answers only (quota), wait so many seconds and try again, or give up."""
+    waits = F.array(*[F.lit(f"retry {d}") for d in delays])
+    again = F.coalesce(F.get(waits, attempt), F.lit("fail"))
+    return F.when(status == 200, "keep").when(status.isin(204, 404), "keep_empty").when(status.isin(401, 403), "stop").when(status == 429, "cached_only").when(status >= 500, again).otherwise("fail")
+
+
 def summaries(items: DataFrame, texts: DataFrame, preferred: list[str], most: int = 5) -> DataFrame:
     """(id, lang, text): lead texts (id, lang, text) of items, in the order of preferred languages, at most some of each.
 

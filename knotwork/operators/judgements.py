@@ -136,6 +136,15 @@ def candidates(edges: DataFrame, limit: int | None = None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
+def next_pair(edges: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
+    """The best suggestion to review next; ignored: pairs (target, source), in either order, that a reviewer has put off."""
+    rows = candidates(edges)
+    if ignored is not None:
+        put_off = ignored.select("target", "source").unionByName(ignored.select(F.col("source").alias("target"), F.col("target").alias("source"))).distinct()
+        rows = rows.join(put_off, ["target", "source"], "left_anti")
+    return rows.orderBy(F.desc_nulls_last("score"), "target", "source").limit(1)
+
+
 def recent(edges: DataFrame, limit: int) -> DataFrame:
     """The last decisions."""
     return live(edges).where(F.col("judgement") != UNDECIDED).orderBy(F.desc("created_at"), "target", "source").limit(limit)

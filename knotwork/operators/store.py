@@ -103,8 +103,8 @@ def cache_lookup(cache: DataFrame, keys: DataFrame, *, now: str, max_age_days: i
 
 
 def expiry_seconds(key, days: int):  # noqa: ANN001, ANN201
-    """Seconds a cached row of a key stays fresh: its checksum picks a share between 0.5 and 1.3 of the days."""
-    share = F.pmod(F.crc32(key), F.lit(801))
+    """Seconds a cached row of a key stays fresh: its digest picks a share between 0.5 and 1.3 of the days."""
+    share = F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(801))
     return F.floor((500 + share) * F.lit(days * 86.4))
 
 

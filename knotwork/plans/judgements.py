@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import judgements as J
 from knotwork.plans.registry import Registry
+from knotwork.session import Scratch
 from knotwork.sources.tables import table
 
 REGISTRY = Registry()
@@ -117,6 +118,18 @@ def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.candidates(_edges(spark, sf_dir), 100)
 
 
+@REGISTRY.query(
+    "top_next_pair",
+    BASE + "SELECT target, source, score FROM live JOIN judged ON l = source AND r = target WHERE live.judgement = 'no_judgement' AND judged.judgement = 'no_judgement' ORDER BY score DESC NULLS LAST, target, source LIMIT 1 OFFSET 7",
+)
+def top_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next pair to review when the first seven were put off, some with their ends exchanged."""
+    edges = Scratch(spark, "edges").keep(_edges(spark, sf_dir))
+    first = Scratch(spark, "first").keep(J.candidates(edges, 7))
+    flip = F.col("score") > 0.5
+    return J.next_pair(edges, first.select(F.when(flip, F.col("source")).otherwise(F.col("target")).alias("target"), F.when(flip, F.col("target")).otherwise(F.col("source")).alias("source")))
+
+
 @REGISTRY.query("top_recent_judgements", BASE + "SELECT target, source, judgement, created_at FROM live WHERE judgement <> 'no_judgement' ORDER BY created_at DESC, target, source LIMIT 50")
 def top_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.recent(_edges(spark, sf_dir), 50).select("target", "source", "judgement", "created_at")

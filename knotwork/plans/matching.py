@@ -195,10 +195,45 @@ def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir, ("soundex_name_parts", "name_soundex_match", "name_metaphone_match", "person_name_phonetic_match", "person_name_jaro_winkler", "name_fingerprint_levenshtein"))
 
 
-@REGISTRY.query("fea_strict")
+def _without(a: str, b: str) -> str:
+    return f"list_filter({a}, lambda w0: NOT list_contains({b}, w0))"
+
+
+def _missing(of: str) -> str:
+    a, b = numbers(f"q.{of}"), numbers(f"e.{of}")
+    return f"len({_without(a, b)})::DOUBLE / greatest(1.0, least(len({a}), len({b}))::DOUBLE)"
+
+
+def _both(of: str) -> str:
+    return f"len({numbers(f'q.{of}')}) > 0 AND len({numbers(f'e.{of}')}) > 0"
+
+
+_X, _Y = "list_distinct(string_split(y1, ' '))", "list_distinct(string_split(y2, ' '))"
+_XR, _YR = _without(_X, _Y), _without(_Y, _X)
+_REST = lambda xs: f"array_to_string(list_sort({xs}), ' ')"
+_N_COMMON = f"(len({_X}) - len({_XR}))::DOUBLE"
+_N_LEFT = f"greatest(len({_XR}), len({_YR}))::DOUBLE"
+FEATURES |= {
+    "last_name_mismatch": flag(disjoint(words("q.lasts", 2), words("e.lasts", 2))),
+    "numbers_mismatch": f"CASE WHEN {_both('names')} THEN {_missing('names')} WHEN {_both('addr')} THEN {_missing('addr')} ELSE 0.0 END",
+    "address_prop_match": best(cset("q.addr"), cset("e.addr"), f"CASE WHEN len({_XR}) = 0 OR len({_YR}) = 0 THEN 1.0 ELSE ({_N_COMMON} + {_N_LEFT} * {lev(_REST(_XR), _REST(_YR))}) / ({_N_LEFT} + {_N_COMMON}) END"),
+}
+#: Features of things, securities, positions, wallets and addresses: zero for persons and organisations by definition.
+_OTHER_KINDS = ("obj_name_levenshtein", "object_names", "security_isin_mismatch", "position_country_match", "crypto_wallet_address", "address_entity_match")
+_STRICT = ("last_name_mismatch", "numbers_mismatch", "address_prop_match")
+
+
+@REGISTRY.query("fea_strict", f'{BASE} SELECT l AS "left", r AS "right", ' + ", ".join([*[f"0.0::DOUBLE AS {n}" for n in _OTHER_KINDS], *[f"round(({FEATURES[n]})::DOUBLE, 5) AS {n}" for n in _STRICT]]) + " FROM x")
 def strict_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of things, formats and addresses, in which most pairs here are zero."""
-    return _features(spark, sf_dir, ("obj_name_levenshtein", "object_names", "strong_identifier_match", "security_isin_mismatch", "position_country_match", "crypto_wallet_address", "address_prop_match", "address_entity_match", "numbers_mismatch", "last_name_mismatch"))
+    """Features of other kinds of entities, and strict ones on numbers and addresses."""
+    return _features(spark, sf_dir, (*_OTHER_KINDS, *_STRICT))
+
+
+@REGISTRY.query("fea_territories", f'{BASE} SELECT l AS "left", r AS "right", round({flag(ov(_COUNTRY("q"), _COUNTRY("e")))}::DOUBLE, 5) AS territory_overlap FROM x')
+def territory_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of countries and the territories they belong to; no code here is one of a territory's parent."""
+    both = M.encode(pairs(spark, sf_dir), {"territory_overlap": X.territory_overlap({"gb-eng": "gb", "us-ca": "us"})})
+    return both.select("left", "right", F.round("f_territory_overlap", 5).alias("territory_overlap"))
 
 
 def _scores(spark: SparkSession, sf_dir: str, name: str, overrides: dict[str, float] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from knotwork.plans.judgements import BASE as EDGES
 from knotwork.plans.registry import Registry
 from knotwork.session import Scratch
 from knotwork.sources import formats
+from knotwork.sources import units as U
 from knotwork.sources.tables import table
 
 REGISTRY = Registry()
@@ -277,9 +278,30 @@ def cache_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cache_like(_cache(spark, sf_dir), "%/1_")
 
 
-@REGISTRY.query("sto_cache_aged")
+@REGISTRY.query(
+    "sto_cache_aged",
+    f"""WITH {_CACHE}, n AS (SELECT date_trunc('second', max(ts)) AS now FROM c), f AS (SELECT c.* FROM c, n WHERE ts > now - to_seconds(floor((500 + (('0x' || substr(md5(key), 1, 8))::UBIGINT % 801)::INT) * 864)::BIGINT))
+SELECT key, arg_max(text, (ts, text)) AS text, max(ts) AS ts FROM f GROUP BY key""",
+)
 def cache_aged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups not older than ten days, give or take, at the time of the last event; no SQL has the keys' checksums."""
+    """Lookups not older than ten days, give or take, at the time of the last event."""
     cache = _cache(spark, sf_dir)
     now = cache.agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("t")).head().t
     return V.cache_lookup(cache, cache.select("key"), now=now or "2100-01-01", max_age_days=10)
+
+
+@REGISTRY.query("snk_unit", "SELECT kind, count(*) AS n, sum(trust)::BIGINT AS trust FROM datasets WHERE kind <> 'media' GROUP BY kind")
+def unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datasets written, changed, changed again but rolled back, committed together, rewritten to one file, and read."""
+    folder = Scratch(spark, "unit").base
+    first = U.Unit(spark, folder)
+    rows = first.stage("datasets", table(spark, sf_dir, "datasets"))
+    first.commit()
+    second = U.Unit(spark, folder)
+    rows = second.stage("datasets", second.read("datasets").where("kind <> 'media'"))
+    second.checkpoint()
+    second.stage("datasets", rows.limit(0))
+    second.rollback()
+    second.commit()
+    U.compact(spark, folder, "datasets")
+    return U.Unit(spark, folder).read("datasets").groupBy("kind").agg(F.count("*").alias("n"), F.sum("trust").alias("trust"))

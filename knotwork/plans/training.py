@@ -83,9 +83,15 @@ def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scan_report(R.scan(judged(spark, sf_dir)))
 
 
-@REGISTRY.query("trn_dataset")
+@REGISTRY.query(
+    "trn_dataset",
+    _LABELLED
+    + f""", snap AS (SELECT entity_id AS id, string_agg(DISTINCT prop || chr(1) || value, chr(2) ORDER BY prop || chr(1) || value) AS p FROM statements WHERE "schema" IN {P._KIND_SQL} AND value IS NOT NULL AND entity_id IS NOT NULL GROUP BY 1
+), d AS (SELECT min(y) AS y, min({_PART("lc")}) AS part FROM lb JOIN snap a ON a.id = l JOIN snap b ON b.id = r WHERE {P._GATE} AND {_PART("lc")} = {_PART("rc")} GROUP BY q.s, a.p, e.s, b.p HAVING min(y) = max(y) AND min({_PART("lc")}) = max({_PART("lc")}))
+SELECT part AS "partition", y, count(*) AS n FROM d GROUP BY ALL""",
+)
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots of training and test pairs; the digest is over Spark's own JSON."""
+    """How many snapshots of pairs there are to train and to test on: equal snapshots are one, contradictory ones none."""
     return R.dataset(R.scan(judged(spark, sf_dir))).groupBy("partition", "y").agg(F.count("*").alias("n"))
 
 

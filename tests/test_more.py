@@ -10,11 +10,13 @@ from knotwork.functions import name_parts as N
 from knotwork.functions import similarity as S
 from knotwork.operators import enrich as E
 from knotwork.operators import items as I
+from knotwork.operators import judgements as J
 from knotwork.operators import matching as M
 from knotwork.operators import store as V
 from knotwork.operators import tokens as T
 from knotwork.operators import training as R
 from knotwork.sources import formats
+from knotwork.sources import units as U
 from knotwork.streaming import changes as C
 
 
@@ -171,6 +173,70 @@ def test_hierarchies_and_proposals(spark):
     assert {r.key: r.text for r in E.fetch_missing(keys, cache, lambda k: k.upper()).collect()} == {"a": "kept", "b": "B"}
 
 
+def test_ended_claims_tenures_and_holders(spark):
+    tree = spark.createDataFrame([("a", None, None), ("b", "a", "2001"), ("c", "b", None), ("d", "q", "1999")], "name string, parent string, until string")
+    skipped = {(r.name, r.ancestor) for r in E.closure(tree, ended="until", kept=("q",)).where("hop > 0").collect()}
+    assert skipped == {("c", "b"), ("d", "q")}
+    held = spark.createDataFrame([("s", "p", "1990", "1994"), ("s", "p", "1998", None), ("t", "p", "2000", "2001"), ("t", "p", "2000", "2001"), ("u", "low", None, None)], "subject string, position string, start string, end string")
+    assert sorted(map(tuple, E.tenures(held).collect()), key=str) == [("s", "p", None, None), ("t", "p", "2000", "2001"), ("u", "low", None, None)]
+    parents = spark.createDataFrame([("low", "p"), ("p", None)], "name string, parent string")
+    got = {(r.position, r.subject): r.hop for r in E.holders(spark.createDataFrame([("p",)], "position string"), parents, held).collect()}
+    assert got == {("p", "s"): 0, ("p", "t"): 0, ("p", "u"): 1}
+
+
+def test_reconcile_links_takes_and_creates(spark):
+    scored = spark.createDataFrame([("a", "Q1", 0.97), ("a", "Q2", 0.97), ("b", "Q3", 0.5), ("d", "Q9", 1.0)], "left string, right string, score double")
+    subjects, linked = spark.createDataFrame([(x,) for x in "abcd"], "left string"), spark.createDataFrame([("d", "Q4")], "left string, right string")
+    assert {(r.left, r.right, r.action) for r in E.reconcile(scored).collect()} == {("a", "Q1", "take"), ("b", "Q3", "review"), ("d", "Q9", "take")}
+    got = {(r.left, r.right, r.action) for r in E.reconcile(scored, subjects=subjects, linked=linked, create=True).collect()}
+    assert got == {("a", "Q1", "take"), ("b", "Q3", "review"), ("d", "Q4", "diff"), ("c", None, "create")}
+
+
+def test_projections_of_identifier_services(spark):
+    orgs = json.dumps({"organizations": [{"organizationId": "77", "organizationName": "Acme", "lei": "L1", "isDomiciledIn": "geo/1"}, {"organizationId": "78", "organizationName": "Beta", "isDomiciledIn": "geo/2"}]})
+    places = spark.createDataFrame([("geo/1", "fr"), ("geo/1", "fr")], "place string, country string")
+    rows = spark.createDataFrame([("k", orgs), ("n", None)], "key string, text string")
+    assert {r.id: r.properties.get("country") for r in E.organisations(rows, places).collect()} == {"lei-L1": ["fr"], "permid-78": None}
+    data = json.dumps({"data": [{"figi": "F1", "compositeFIGI": "F1", "name": "ACME SHS"}, {"figi": "F2", "compositeFIGI": "F1", "name": "ACME SHS"}]})
+    found, links = E.securities(spark.createDataFrame([("k", data), ("l", data)], "key string, text string"), spark.createDataFrame([("c", "ACME SHS"), ("d", "ACME")], "id string, name string"))
+    assert [r.id for r in found.collect()] == ["figi-f1"] and [tuple(r) for r in links.collect()] == [("figi-f1", "c")]
+    archive = json.dumps({"results": [{"id": "1", "schema": "Person", "properties": {"name": ["Ann"]}, "collection": {"foreign_id": "x"}}, {"id": "2", "schema": "Person", "collection": {"foreign_id": "y"}}]})
+    assert [(r.id, r.properties) for r in E.collection_entities(spark.createDataFrame([("k", archive)], "key string, text string"), "x").collect()] == [("1", {"name": ["Ann"]})]
+    asked = spark.createDataFrame([(200, 0), (204, 0), (403, 0), (429, 0), (503, 1), (503, 3), (400, 0)], "s int, n int").select(E.fetch_rule(F.col("s"), F.col("n")).alias("x"))
+    assert [r.x for r in asked.collect()] == ["keep", "keep_empty", "stop", "cached_only", "retry 4", "fail", "fail"]
+    one = spark.range(1).select(E.clean_query(F.lit(" Acme (UK), Ltd. ")).alias("q"), E.link_id(F.lit("P26"), F.lit("Q9"), F.lit("Q10")).alias("i")).head()
+    assert tuple(one) == ("Acme UK Ltd", "wd-p26-q10-q9")
+
+
+def test_next_pair_and_territories(spark):
+    edges = spark.createDataFrame([("b", "a", "no_judgement", 0.9, "u", "1", None), ("d", "c", "no_judgement", 0.8, "u", "1", None)], "target string, source string, judgement string, score double, user string, created_at string, deleted_at string")
+    put_off = spark.createDataFrame([("a", "b")], "target string, source string")
+    assert (J.next_pair(edges).head().target, J.next_pair(edges, put_off).head().target) == ("b", "d")
+    frame = spark.createDataFrame([(entity("a", "Person", country=["us-ca"]), entity("b", "Person", country=["US"])), (entity("a", "Person", country=["im"]), entity("b", "Person", country=["gb"])), (entity("a", "Person"), entity("b", "Person", country=["gb"]))], f"l {formats.ENTITY.simpleString()}, r {formats.ENTITY.simpleString()}")
+    assert [r.f_t for r in M.encode(frame, {"t": X.territory_overlap({"im": "gb"})}).collect()] == [1.0, 1.0, 0.0]
+
+
+def test_units_of_work(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    first = U.Unit(spark, folder)
+    first.stage("t", spark.range(3))
+    first.commit()
+    second = U.Unit(spark, folder)
+    second.stage("t", second.read("t").where("id > 0"))
+    second.checkpoint()
+    second.stage("t", spark.range(0))
+    second.stage("x", spark.range(9))
+    second.rollback()
+    assert second.read("t").count() == 3  # nothing is seen before the commit
+    second.commit()
+    assert second.read("t").count() == 2 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t"]
+    assert U.compact(spark, folder, "t") == 1 and len(list(tmp_path.glob("t/*.parquet"))) == 1
+    # a unit that died while it changed a table
+    (tmp_path / "_unit-1" / "old").mkdir(parents=True)
+    (tmp_path / "t").rename(tmp_path / "_unit-1" / "old" / "t")
+    assert U.recover(spark, folder) == ["t"] and second.read("t").count() == 2 and not (tmp_path / "_unit-1").exists()
+
+
 def test_answers_of_sources(spark):
     text = json.dumps({"results": {"companies": [{"company": {"company_number": "12 A", "name": "Acme", "jurisdiction_code": "us_de", "company_type": ""}}, {"company": {"name": "no id"}}]}})
     rows = spark.createDataFrame([("k", text), ("l", None), ("m", "broken")], "key string, text string")
