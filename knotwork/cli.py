@@ -97,6 +97,31 @@ def train(args: argparse.Namespace) -> None:
     R.losses(R.apply(model, data.where("partition = 'test'"))).show()
 
 
+def reconcile(args: argparse.Namespace) -> None:
+    """The best candidate of each subject in scores (left, right, score): taken over above the threshold, else for review."""
+    spark = _session()
+    E.reconcile(spark.read.parquet(args.scores), float(args.threshold)).write.mode("overwrite").parquet(args.out)
+
+
+def make_sortable(args: argparse.Namespace) -> None:
+    """Statements in the order of their canonical ids, so that those of an entity stand together."""
+    rows = formats.read_statements(_session(), args.statements, args.format)
+    rows = rows.withColumn("canonical_id", F.coalesce("canonical_id", "entity_id"))
+    formats.write_statements(rows.orderBy("canonical_id", "entity_id", "prop", "id"), args.out, args.format)
+
+
+def dedupe(args: argparse.Namespace) -> None:
+    """Show the next pair to review, both sides by property; with a judgement, record it and write the decisions."""
+    spark = _session()
+    edges = _edges(spark, args.edges)
+    pair = J.next_pair(edges).select(F.col("source").alias("left"), F.col("target").alias("right"))
+    rows = E.comparison(pair, S.assemble(formats.read_statements(spark, args.statements, args.format)))
+    rows.orderBy("order", "prop").drop("order").show(100, truncate=False)
+    if args.judgement:
+        decided = pair.withColumn("judgement", F.lit(args.judgement))
+        J.decide(edges, decided, now=args.now, user=args.user).write.mode("overwrite").parquet(args.out)
+
+
 def bench(args: argparse.Namespace) -> None:
     """Time a scorer over judged pairs."""
     judged = formats.read_pairs(_session(), args.pairs).withColumnsRenamed({"left": "l", "right": "r"})
@@ -126,6 +151,9 @@ def parser() -> argparse.ArgumentParser:
     command(load, "dump", "out")
     command(dump, "edges", "out")
     command(train, "pairs", "model", model="regression-v1")
+    command(reconcile, "scores", "out", "threshold", threshold=0.96)
+    command(make_sortable, "statements", "out", "format", format="parquet")
+    command(dedupe, "statements", "edges", "format", "judgement", "now", "user", "out", format="parquet", judgement=None, now="", user="review", out="decisions")
     command(bench, "pairs", "algorithm", algorithm="logic-v1")
     return top
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.operators.ontology import schema_pairs
+from knotwork.session import Scratch
 
 #: Weight of a token by its field; any other field counts 1. Fixed values.
 BOOSTS = {"np": 5.0, "wd": 0.5, "name": 15.0, "phone": 10.0, "email": 10.0, "address": 1.0, "identifier": 10.0}
@@ -75,12 +76,15 @@ def _boost(field: Column) -> Column:
     return value
 
 
-def term_weights(entries: DataFrame) -> DataFrame:
-    """(schema, field, token, id, weight): inverse document frequency times boost; parts of names are damped by their number."""
+def term_weights(entries: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """(schema, field, token, id, weight): inverse document frequency times boost; parts of names are damped by their number.
+
+    rows: the entries to be weighed, if not all of those that are counted.
+    """
     n = entries.select(F.countDistinct("id").cast("double").alias("n")).scalar()
     idf = entries.groupBy("token").agg((1.0 + F.log(n / F.countDistinct("id"))).alias("idf"))
     names = entries.where(F.col("field") == "name").groupBy("id").agg(F.greatest(F.lit(1), F.sum("count")).alias("n_names"))
-    joined = entries.join(idf, "token").join(names, "id", "left")
+    joined = (entries if rows is None else rows).join(idf, "token").join(names, "id", "left")
     plain = _boost(F.col("field")) * F.col("idf")
     weight = F.when(F.col("field").isin("np", "sy"), plain / F.sqrt(F.coalesce("n_names", F.lit(1)).cast("double"))).otherwise(plain)
     return joined.select("schema", "field", "token", "id", weight.alias("weight"))
@@ -92,7 +96,8 @@ def candidate_pairs(entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Tokens whose pairs cost more than the bucket allows are left out before the join, so no token joins more than
     ``pair_cost(bucket)`` pairs.
     """
-    terms = drop_stopwords(term_weights(entries), token_costs(entries, bucket))
+    entries = Scratch(entries.sparkSession, "blocking").keep(entries)  # counted three times and joined
+    terms = term_weights(entries, drop_stopwords(entries, token_costs(entries, bucket)))
     side = lambda p: terms.select("token", "field", F.col("id").alias(f"{p}id"), F.col("schema").alias(p), F.col("weight").alias(f"{p}w"))
     left = side("l").withColumnRenamed("l", "left")
     right = side("r").withColumnRenamed("r", "right")
@@ -107,8 +112,11 @@ def top_pairs(pairs: DataFrame, limit: int) -> DataFrame:
 
 def subject_matches(subjects: DataFrame, index: DataFrame, *, bucket: int = BUCKET, max_candidates: int = MAX_CANDIDATES, min_score_ratio: float = MIN_SCORE_RATIO) -> DataFrame:
     """(matching_id, matches_id, score, rank): each subject's best candidates of the index, with a relative floor."""
+    scratch = Scratch(subjects.sparkSession, "blocking")
+    index, subjects = scratch.keep(index), scratch.keep(subjects)
     kept = drop_stopwords(subjects, match_costs(subjects, index, bucket)).select("token", "field", F.col("id").alias("matching_id"), F.col("schema").alias("left"))
-    terms = term_weights(index).select("token", "field", F.col("id").alias("matches_id"), F.col("schema").alias("right"), "weight")
+    asked = index.join(kept.select("token", "field").distinct(), ["token", "field"], "left_semi")
+    terms = term_weights(index, asked).select("token", "field", F.col("id").alias("matches_id"), F.col("schema").alias("right"), "weight")
     joined = kept.join(terms, ["token", "field"]).where("matching_id <> matches_id").join(F.broadcast(schema_pairs(subjects.sparkSession)), ["left", "right"])
     fields = joined.groupBy("matching_id", "matches_id", "field").agg(F.max("weight").alias("w"), F.count("*").alias("n"))
     # rounded, so that ranks do not hang on the order in which a sum was made

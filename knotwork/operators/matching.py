@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -189,6 +189,19 @@ class Regression:
         return out.withColumn("score", 1.0 / (1.0 + F.exp(-z))).withColumn("explanations", told).drop(*[f"f_{n}" for n in self.features])
 
 
+def save_model(spark: SparkSession, model: Regression, path: str) -> None:
+    """A model as a table of its features, in order, with coefficients."""
+    rows = [(k, n, float(model.coefficients[n]), float(model.intercept)) for k, n in enumerate(model.features)]
+    spark.createDataFrame(rows, "k int, feature string, coefficient double, intercept double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, name: str, path: str) -> Regression:
+    """A saved model for the scorer of that name; raises ValueError if it was saved with other features."""
+    known = algorithm(name)
+    rows = spark.read.parquet(path).orderBy("k").collect()  # one row per feature
+    return Regression(name, known.features, {r.feature: r.coefficient for r in rows}, rows[0].intercept if rows else 0.0)
+
+
 HEURISTICS: dict[str, Algorithm] = {a.name: a for a in (LOGIC_V1, LOGIC_V2, NAME_BASED, NAME_QUALIFIED, SANCTION_SEARCH)}
 ALGORITHMS: dict[str, Callable[[], Algorithm | Regression]] = {
     **{n: (lambda a=a: a) for n, a in HEURISTICS.items()},

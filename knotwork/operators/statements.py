@@ -61,6 +61,11 @@ def in_scope(statements: DataFrame, leaves: DataFrame, *, external: bool = False
     return rows if external else rows.where(~F.coalesce("external", F.lit(False)))
 
 
+def of_schemata(entities: DataFrame, names: list[str]) -> DataFrame:
+    """Entities of exactly these schemata, not of kinds of them; all, if none is named."""
+    return entities.where(F.col("schema").isin(*names)) if names else entities
+
+
 def canonicalise(statements: DataFrame, links: DataFrame) -> DataFrame:
     """Statements with the canonical ids of a linker (node, canonical_id); values that are entity ids are replaced too,
     and keep what they were in ``original_value``."""

@@ -11,6 +11,7 @@ from knotwork.operators import blocking as B
 from knotwork.operators import matching as M
 from knotwork.operators import statements as S
 from knotwork.plans.registry import Registry
+from knotwork.session import Scratch
 from knotwork.sources.tables import table
 
 REGISTRY = Registry()
@@ -286,6 +287,23 @@ def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.explode("explanations").alias("feature", "value")).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"))
 
 
+_MODEL = {n: (k % 7 - 3) * 0.25 for k, n in enumerate(M.REGRESSION_V1)}
+
+
+@REGISTRY.query("snk_model", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {c}::DOUBLE)" for n, c in _MODEL.items()) + ") AS t(feature, coefficient)")
+def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficients of a model that was saved and loaded again."""
+    path = f"{Scratch(spark, 'model').base}/model"
+    M.save_model(spark, M.Regression("regression-v1", M.REGRESSION_V1, _MODEL, 0.5), path)
+    return spark.createDataFrame(list(M.load_model(spark, "regression-v1", path).coefficients.items()), "feature string, coefficient double")
+
+
+@REGISTRY.query("flt_schemata", "SELECT entity_id AS id, max(\"schema\") AS \"schema\" FROM statements WHERE entity_id IS NOT NULL AND value IS NOT NULL AND \"schema\" IN ('Person', 'Company', 'Organization') GROUP BY entity_id HAVING max(\"schema\") = 'Organization'")
+def exact_schemata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisations, without the companies, which are organisations too."""
+    return S.of_schemata(entities(spark, sf_dir), ["Organization"]).select("id", "schema")
+
+
 @REGISTRY.query("xref_scored")
 def xref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocking, judgements, entities and scores together: suggestions and merges."""

@@ -64,6 +64,30 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ENTITY).json(path).where(F.col("id").isNotNull() & F.col("schema").isin(*SCHEMATA))
 
 
+def load_entities(spark: SparkSession, path: str, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The entities of a JSON-lines file and the (name, entities) of the datasets they come from, which need not be known before.
+
+    links: (node, canonical_id) by which ids are replaced; entities that become one keep the values of all, the first schema by
+    name, and the ids they had as referents.
+    """
+    rows = read_entities(spark, path)
+    if links is not None:
+        moved = rows.join(links.select(F.col("node").alias("id"), "canonical_id"), "id", "left").withColumn("to", F.coalesce("canonical_id", "id"))
+        values = moved.select("to", F.explode("properties").alias("prop", "v")).select("to", "prop", F.explode("v").alias("v")).groupBy("to", "prop").agg(F.array_sort(F.collect_set("v")).alias("v"))
+        props = values.groupBy("to").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("prop", "v")))).alias("properties"))
+        flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
+        own = F.array_union(F.coalesce("referents", F.array().cast("array<string>")), F.when(F.col("to") != F.col("id"), F.array("id")).otherwise(F.array().cast("array<string>")))
+        heads = moved.groupBy("to").agg(F.min("schema").alias("schema"), flat(F.col("datasets")).alias("datasets"), flat(own).alias("referents"))
+        rows = heads.join(props, "to", "left").select(F.col("to").alias("id"), "schema", F.coalesce("properties", F.create_map().cast("map<string,array<string>>")).alias("properties"), "datasets", "referents")
+    found = rows.select("id", F.explode("datasets").alias("name")).groupBy("name").agg(F.count("*").alias("entities"))
+    return rows, found
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Judged pairs (left, right, judgement, left_cluster, right_cluster) as JSON lines of the current version."""
+    pairs.select(F.lit(1).alias("format_version"), "left", "right", "judgement", "left_cluster", "right_cluster").write.mode("overwrite").json(path)
+
+
 def write_entities(entities: DataFrame, path: str) -> None:
     entities.select(*ENTITY.names).write.mode("overwrite").json(path)
 

@@ -216,6 +216,39 @@ def test_next_pair_and_territories(spark):
     assert [r.f_t for r in M.encode(frame, {"t": X.territory_overlap({"im": "gb"})}).collect()] == [1.0, 1.0, 0.0]
 
 
+def test_models_and_entity_files(spark, tmp_path):
+    path = f"file://{tmp_path}/m"
+    M.save_model(spark, M.Regression("regression-v1", M.REGRESSION_V1, dict.fromkeys(M.REGRESSION_V1, 0.5), 1.5), path)
+    assert M.load_model(spark, "regression-v1", path).intercept == 1.5
+    with pytest.raises(ValueError, match="features"):
+        M.load_model(spark, "entity-regression", path)
+    rows = [entity("a", "Person", name="Ann", country=["us", "fr"]), ("b", "Person", {"name": ["Anna"]}, ["e"], ["old"]), ("c", "Company", {}, None, None), ("d", "Nonsense", {}, [], [])]
+    formats.write_entities(spark.createDataFrame(rows, formats.ENTITY), f"file://{tmp_path}/e")
+    plain, found = formats.load_entities(spark, f"file://{tmp_path}/e")
+    assert sorted(r.id for r in plain.collect()) == ["a", "b", "c"] and {(r.name, r.entities) for r in found.collect()} == {("d", 1), ("e", 1)}
+    merged, found = formats.load_entities(spark, f"file://{tmp_path}/e", spark.createDataFrame([("a", "NK"), ("b", "NK")], "node string, canonical_id string"))
+    got = {r.id: (r.properties, r.datasets, r.referents) for r in merged.collect()}
+    assert got["NK"] == ({"country": ["fr", "us"], "name": ["Ann", "Anna"]}, ["d", "e"], ["a", "b", "old"]) and got["c"] == ({}, [], []) and {(r.name, r.entities) for r in found.collect()} == {("d", 1), ("e", 1)}
+    left = spark.createDataFrame([(entity("a", "Person"), entity("b", "Person"), "positive", "x", "x")], f"left {formats.ENTITY.simpleString()}, right {formats.ENTITY.simpleString()}, judgement string, left_cluster string, right_cluster string")
+    formats.write_pairs(left, f"file://{tmp_path}/p")
+    assert [r.format_version for r in formats.read_pairs(spark, f"file://{tmp_path}/p").collect()] == [1]
+
+
+def test_commands(spark, make_statements, tmp_path, capsys):
+    from knotwork import cli
+
+    rows = make_statements([("1", "b", None, "name", "Person", "Ann", "x", None), ("2", "a", "a", "name", "Person", "Anna", "x", None), ("3", "a", "a", "country", "Person", "us", "x", None)])
+    formats.write_statements(rows, f"file://{tmp_path}/s")
+    cli.main(["make_sortable", "--statements", f"file://{tmp_path}/s", "--out", f"file://{tmp_path}/sorted"])
+    assert [(r.canonical_id, r.prop) for r in formats.read_statements(spark, f"file://{tmp_path}/sorted").collect()] == [("a", "country"), ("a", "name"), ("b", "name")]
+    spark.createDataFrame([("b", "a", "no_judgement", 0.9, "u", "1", None)], "target string, source string, judgement string, score double, user string, created_at string, deleted_at string").write.parquet(f"file://{tmp_path}/e")
+    cli.main(["dedupe", "--statements", f"file://{tmp_path}/sorted", "--edges", f"file://{tmp_path}/e", "--judgement", "positive", "--now", "2", "--out", f"file://{tmp_path}/d"])
+    assert "Anna" in capsys.readouterr().out and J.clusters(spark.read.parquet(f"file://{tmp_path}/d")).count() >= 2
+    spark.createDataFrame([("a", "Q1", 0.99)], "left string, right string, score double").write.parquet(f"file://{tmp_path}/c")
+    cli.main(["reconcile", "--scores", f"file://{tmp_path}/c", "--out", f"file://{tmp_path}/r"])
+    assert spark.read.parquet(f"file://{tmp_path}/r").head().action == "take"
+
+
 def test_units_of_work(spark, tmp_path):
     folder = f"file://{tmp_path}"
     first = U.Unit(spark, folder)
