@@ -167,9 +167,32 @@ FEATURES["ofac_name_score"] = best(
 )
 FEATURES["jaro_name_parts"] = f"coalesce(list_avg(list_transform({words('q.names')}, lambda w: coalesce(list_max(list_transform({words('e.names')}, lambda o: CASE WHEN jaro_winkler_similarity(w, o) > 0.5 THEN jaro_winkler_similarity(w, o) ELSE 0.0 END)), 0.0))), 0.0)"
 
+# the American sound code: codes of letters, 0 for vowels, none for h and w, runs of one code made one
+_LETTER_CODES = lambda w: f"translate({w}, 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '1111222222223345560000000')"  # noqa: E731, S105
+
+
+def _runs(code: str) -> str:
+    for digit in "0123456":
+        code = f"regexp_replace({code}, '{digit}{digit}+', '{digit}', 'g')"
+    return code
+
+
+def sound(word: str) -> str:
+    """SQL of the sound code of a word of Latin letters, else the word in capitals."""
+    w = f"upper({word})"
+    coded = _runs(f"(CASE WHEN {w}[1] IN ('H', 'W') THEN '7' ELSE {_LETTER_CODES(f'{w}[1]')} END || {_LETTER_CODES(f'{w}[2:]')})")
+    return f"CASE WHEN regexp_matches({word}, '^[A-Za-z]{{2,}}$') THEN {w}[1] || rpad(replace({coded}[2:], '0', '') || '000', 3, '0')[1:3] ELSE {w} END"
+
+
+_CODES = lambda ws: f"list_distinct(list_transform({ws}, lambda w1: {sound('w1')}))"
+_CODED = lambda name: _CODES(f"string_split({name}, ' ')")
+FEATURES["soundex_name_parts"] = share(_CODES(words("q.names")), _CODES(words("e.names")), 1.0)
+FEATURES["name_soundex_match"] = best(cset("q.names"), cset("e.names"), f"len(list_intersect({_CODED('y1')}, {_CODED('y2')}))::DOUBLE / greatest(2.0, len(string_split(y1, ' '))::DOUBLE)")
+
 GROUPS = {
     "fea_names": ("name_literal_match", "name_match", "name_token_overlap", "name_numbers", "name_levenshtein", "weak_alias_match"),
     "fea_entity_names": ("person_name_levenshtein", "org_name_levenshtein", "er_name_numbers", "er_name_token_overlap"),
+    "fea_soundex": ("soundex_name_parts", "name_soundex_match"),
     "fea_jaro": ("ofac_name_score", "jaro_name_parts"),
     "fea_dates": ("dob_matches", "dob_year_matches", "dob_year_disjoint", "dob_day_disjoint", "dob_year_signed"),
     "fea_identifiers": ("identifier_match", "plain_identifier_match", "org_identifier_match", "orgid_disjoint", "weak_identifier_match"),
@@ -193,7 +216,7 @@ for _name, _parts in GROUPS.items():
 @REGISTRY.query("fea_sounds")
 def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features on sound codes and aligned words, which SQL has no functions for."""
-    return _features(spark, sf_dir, ("soundex_name_parts", "name_soundex_match", "name_metaphone_match", "person_name_phonetic_match", "person_name_jaro_winkler", "name_fingerprint_levenshtein"))
+    return _features(spark, sf_dir, ("name_metaphone_match", "person_name_phonetic_match", "person_name_jaro_winkler", "name_fingerprint_levenshtein"))
 
 
 def _without(a: str, b: str) -> str:
@@ -270,8 +293,26 @@ def logic_v1_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, "logic-v1", dict.fromkeys(off, 0.0))
 
 
-for _alg in ("logic-v1", "logic-v2", "name-based"):
-    REGISTRY.query("alg_" + _alg.replace("-", "_"))(lambda spark, sf_dir, name=_alg: _scores(spark, sf_dir, name))
+_NAMES = f"0.5 * ({FEATURES['soundex_name_parts']}) + 0.5 * ({FEATURES['jaro_name_parts']})"
+
+
+def _named(qualifiers: dict[str, float]) -> str:
+    total = " + ".join([_NAMES, *[f"({w}) * ({FEATURES[n]})" for n, w in qualifiers.items()]])
+    positive = f"(({FEATURES['soundex_name_parts']}) > 0 OR ({FEATURES['jaro_name_parts']}) > 0)"
+    return f'{BASE} SELECT l AS "left", r AS "right", round(CASE WHEN {_GATE} AND {positive} THEN greatest(0.0, least(1.0, {total})) ELSE 0.0 END::DOUBLE, 5) AS score FROM x'
+
+
+for _alg, _sql in (("logic-v1", None), ("logic-v2", None), ("name-based", _named({})), ("name-qualified", _named(_QUAL))):
+    REGISTRY.query("alg_" + _alg.replace("-", "_"), _sql)(lambda spark, sf_dir, name=_alg: _scores(spark, sf_dir, name))
+
+
+_V2 = {"address_prop_match": 0.2, "country_mismatch": -0.2, "dob_year_disjoint": -0.15, "dob_day_disjoint": -0.25, "gender_mismatch": -0.2}
+
+
+@REGISTRY.query("alg_logic_v2_plain", _clamped(f"greatest(0.85 * ({FEATURES['identifier_match']}), 0.8 * ({FEATURES['weak_alias_match']}))", _V2))
+def logic_v2_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second rule scorer without its name feature, switched off by its weight."""
+    return _scores(spark, sf_dir, "logic-v2", {"name_match": 0.0})
 
 
 @REGISTRY.query("alg_docs", "SELECT 'sanction-search' AS algorithm, * FROM (VALUES ('whole_or_parts', 1.0, false), ('country_mismatch', -0.1, true), ('dob_year_disjoint', -0.1, true), ('dob_day_disjoint', -0.15, true), ('gender_mismatch', -0.1, true), ('orgid_disjoint', -0.1, true)) AS t(feature, weight, qualifier)")
@@ -280,10 +321,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "algorithm string, feature string, weight double, qualifier boolean")
 
 
-@REGISTRY.query("alg_explanations")
+_TOLD = " UNION ALL ".join(f"SELECT '{n}' AS feature, ({f})::DOUBLE AS v FROM x WHERE {_GATE}" for n, f in {"whole_or_parts": FEATURES["ofac_name_score"], **{q: FEATURES[q] for q in _QUAL}}.items())
+
+
+@REGISTRY.query("alg_explanations", f"{BASE} SELECT feature, count(*) AS n, round(avg(v), 5) AS mean FROM ({_TOLD}) WHERE v <> 0 GROUP BY feature")
 def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each feature of the second rule scorer counts, and its mean score there."""
-    scored = M.LOGIC_V2.score(pairs(spark, sf_dir))
+    """How often each feature of the sanction search counts, and its mean there."""
+    scored = M.SANCTION_SEARCH.score(pairs(spark, sf_dir))
     return scored.select(F.explode("explanations").alias("feature", "value")).groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"))
 
 
