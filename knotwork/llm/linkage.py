@@ -11,6 +11,7 @@ consensus by further rounds. The value of a variable is the confidence of its ma
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -447,6 +448,8 @@ def confidences(pairs: DataFrame, w: Weights | None = None, *, outer_rounds: int
         if state.where((F.col("copies") > 1) & (apart > tolerance)).limit(1).count() == 0:
             break
         touched = solved(state.drop("x", "before"))
+    else:
+        warnings.warn(f"copies of shared pairs still differ or move by more than {tolerance} after {outer_rounds} rounds; their means are returned", stacklevel=2)
     agreed = touched.groupBy("a", "b").agg(F.avg("x").alias("confidence"))
     return final.unionByName(agreed)
 
