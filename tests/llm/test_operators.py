@@ -383,6 +383,25 @@ def test_leaks(spark, monkeypatch):
     assert L.leaks(frame.limit(0), items).collect() == [] and L.leaks(frame, items.limit(0)).collect() == []
 
 
+def test_leaks_of_items_that_share_wording(spark):
+    word = lambda *names: " ".join(f"{n}{chr(97 + k // 26)}{chr(97 + k % 26)}" for n, size in names for k in range(size))
+    copies = [(k, "en", text) for k, text in enumerate([ITEM, ITEM.upper(), ITEM.replace("ö", "oe")], 1)]
+    near = [(10 + k, "en", f"{word(('v', 20))} by Keeper{'abcde'[k]} {word(('w', 20))}") for k in range(5)]
+    noticed = [(20 + k, "en", f"{word((f'own{chr(97 + k)}', 34))} {word((f'more{chr(97 + k)}', 3), ('notice', 40))}") for k in range(4)]
+    long = word(("z", 95)).split()
+    items = spark.createDataFrame([*copies, *near, *noticed, (30, "en", " ".join(long))], "item_id long, lang string, text string")
+    docs = {
+        1: f"Before {ITEM} after",  # three items of equal words
+        2: f"Before {near[0][2]} after",  # five items that differ by one word
+        3: f"Before {word(('v', 20))} after",  # what all five have is general wording
+        4: f"Before {word(('notice', 40))} and later {word(('owna', 34))} after",  # the notice is longer than the item's own passage
+        5: f"Before {word(('notice', 40))} after",
+        6: " ".join(w if k < 3 or k % 2 == 0 else f"x{w}" for k, w in enumerate(long[:41])),  # one telling shingle, then every other word changed
+    }
+    got = {(r.doc_id, r.item_id) for r in L.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (2, 10), (4, 20), (6, 30)}
+
+
 def test_words():
     assert L.words("Café, l'Été: 523,095.32 Größe E-12/3") == L.words("CAFE LETE 523095.32 Groesse E123")
     assert L.words("") == [] and L.words("中文 ok") == ["中", "文", "ok"]
