@@ -252,6 +252,16 @@ def test_lexicon_is_learned(make_statements):
     assert learn(make_statements(odd)).given.words == {}
 
 
+def test_rare_names_are_learned_from_many(make_statements):
+    """A given name with two family names beside more than 40 000 pairs of others."""
+    letters = "bdfglmnprstvz"
+    given = [f"{a}i{b}olo" for a in letters for b in letters]
+    families = [f"{a}u{b}{end}" for end in ("berg", "mann") for a in letters for b in letters][:250]
+    rows = [(f"{g}{f}", f"{g}{f}", f"{g}{f}", "name", "Person", f"{g.title()} {f.title()}", "reg", None) for g in given for f in families]
+    rows += [(f"z{f}", f"z{f}", f"z{f}", "name", "Person", f"Xanthippe {f.title()}", "reg", None) for f in families[:2]]
+    assert len(rows) > 40_000 and learn(make_statements(rows)).given_name("xanthippe") == ("xanthippe", 2)
+
+
 def test_names():
     given = {N.skeleton(w): w for w in ("bjorn", "amelie", "yolanda")} | {"melie": "amelie"}
     lexicon = N.Lexicon(given, dict.fromkeys(given, 9), {"ceramics": 90, "brothers": 99, "bros": 20, "engineering": 80, "foods": 70, "energy": 60})
