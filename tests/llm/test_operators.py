@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -24,6 +25,7 @@ from knotwork.llm.distinctive import leading_terms
 from knotwork.llm.frequency import marked_terms
 from knotwork.llm.groups import components, consolidate
 from knotwork.llm.lexicon import learn
+from knotwork.llm.queries import P1_SQL, p1_found
 from knotwork.llm.survivors import FULL, Bundle, Dependency, choose, information, survivors
 
 DATASETS = "name string, title string, kind string, trust int, parent string"
@@ -60,6 +62,19 @@ def test_survivors(spark, make_statements, datasets):
     assert survivors(frame, datasets.limit(0), bundles).count() == 3
 
 
+def test_equal_statements_survive_as_in_sql(spark, make_statements, datasets, tmp_path):
+    """Equals that the register's entry, by what it states together, would decide otherwise than the SQL's greatest id."""
+    pairs = [("registrationNumber", "HR 1", "HR 2"), ("legalForm", "AG", "Ltd"), ("incorporationDate", "1990-01-02", "1991-01-02")]
+    rows = [(f"{prop}{k}", entity, "NK", prop, "Company", value, "reg", "2020-01-01") for prop, *values in pairs for k, (entity, value) in enumerate(zip("ab", values, strict=True))]
+    make_statements(rows).coalesce(1).write.parquet(f"{tmp_path}/statements.parquet")
+    datasets.coalesce(1).write.parquet(f"{tmp_path}/datasets.parquet")
+    db = duckdb.connect()
+    for name in ("statements", "datasets"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    wanted = sorted(db.execute(P1_SQL).fetchall())
+    assert len(wanted) == 3 and sorted(tuple(r) for r in p1_found(spark, str(tmp_path)).collect()) == wanted
+
+
 def test_bundles_stay_whole(make_statements, datasets):
     rows = [
         ("1", "a", "NK", "registrationNumber", "Company", "HR 1", "reg", "2020-01-01"), ("2", "a", "NK", "legalForm", "Company", "AG", "reg", "2020-01-01"), ("3", "b", "NK", "registrationNumber", "Company", "HR 2", "media", "2023-01-01"),
