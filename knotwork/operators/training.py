@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -12,14 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.functions import features as X
+from knotwork.operators.logistic import Models, fit_all
 from knotwork.operators.matching import Regression, encode
 from knotwork.operators.ontology import matchable
+from knotwork.session import Scratch
 
 SEED, TEST_SIZE, THRESHOLDS = 42, 0.30, (0.5, 0.7, 0.9)
 #: Inverse strengths of the penalty on the summed loss, shares of its absolute part and folds that are tried. Fixed values.
 INVERSE_STRENGTHS, SHARES, FOLDS = tuple(10.0 ** (8 * k / 9 - 4) for k in range(10)), (0.0, 0.25, 0.5, 0.75, 1.0), 5
-#: Fits that run at once, and the most steps of one of them.
-AT_ONCE, STEPS = 8, 2000
+#: The most steps of a fit.
+STEPS = 2000
 
 
 def partition_of(cluster: Column, test_size: float = TEST_SIZE, seed: int = SEED) -> Column:
@@ -85,48 +86,39 @@ def fit(data: DataFrame, name: str, features: dict[str, X.Feature], *, centre: b
 
 def choose(data: DataFrame, name: str, features: dict[str, X.Feature], folds: int = FOLDS) -> tuple[Regression, float, float]:
     """The scorer whose penalty has the least mean log loss over folds of the training partition, fitted on all of it, with
-    the inverse strength and share chosen. Features are scaled once, by the whole training partition."""
+    the inverse strength and share chosen. Features are scaled once, by the whole training partition; equal rows are one, with
+    their number."""
     fold = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.lit(folds))
+    scratch = Scratch(data.sparkSession, "folds")
     train = data.where("partition = 'train'").cache()
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True).fit(train)
-    rest: dict[int, DataFrame] = {}
-    scaled = scaler.transform(train).select(F.col("y").cast("double").alias("y"), "features", fold.alias("fold")).cache()
-
-    def fitted(rows: DataFrame, n: int, inverse: float, share: float):  # noqa: ANN202
-        return LogisticRegression(labelCol="y", regParam=1.0 / (inverse * n), elasticNetParam=share, maxIter=STEPS, standardization=False).fit(rows)
-
     try:
-        sizes = {r.fold: r.n for r in scaled.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-        total = sum(sizes.values())
-        rest.update({k: scaled.where(F.col("fold") != k).cache() for k in sizes})
-        tries = [(inverse, share) for inverse in INVERSE_STRENGTHS for share in SHARES]
-
-        def model_of(task: tuple[int, float, float]) -> tuple[float, list[float]]:
-            model = fitted(rest[task[0]], total - sizes[task[0]], *task[1:])
-            return float(model.intercept), [float(c) for c in model.coefficients.toArray()]
-
-        def losses_of(k: int) -> list[float]:
-            x = vector_to_array("features")
-            scores = []
-            for inverse, share in tries:
-                intercept, weights = models[k, inverse, share]
-                z = F.aggregate(F.zip_with(x, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(intercept), lambda a, b: a + b)
-                scores.append(F.avg(log_loss(F.col("y"), 1.0 / (1.0 + F.exp(-z)))))
-            return list(scaled.where(F.col("fold") == k).agg(*[v.alias(f"v{i}") for i, v in enumerate(scores)]).head())
-
-        with ThreadPoolExecutor(AT_ONCE) as pool:
-            tasks = [(k, *t) for k in rest for t in tries]
-            models = dict(zip(tasks, pool.map(model_of, tasks), strict=True))
-            by_fold = list(pool.map(losses_of, rest))
-        mean = [sum(v) / len(v) for v in zip(*by_fold, strict=True)]
-        inverse, share = tries[min(range(len(tries)), key=mean.__getitem__)]
-        model = fitted(scaled, total, inverse, share)
+        scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=False, withStd=True).fit(train)
+        equal = train.groupBy(vector_to_array("raw").alias("x"), F.col("y").cast("double").alias("y"), fold.alias("fold")).agg(F.count("*").alias("n"))
+        rows = scratch.keep(equal.repartition(data.sparkSession.sparkContext.defaultParallelism))
     finally:
-        for frame in (*rest.values(), scaled, train):
-            frame.unpersist()
+        train.unpersist()
     deviation = scaler.std.toArray()
-    weights = [float(c / d) if d > 0 else 0.0 for c, d in zip(model.coefficients.toArray(), deviation, strict=True)]
-    return Regression(name, features, dict(zip(features, weights, strict=True)), float(model.intercept)), inverse, share
+    scale = np.where(deviation > 0, 1 / np.where(deviation > 0, deviation, 1), 0)
+    sizes = {r.fold: r.n for r in rows.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+    total = sum(sizes.values())
+    tries = [(inverse, share) for inverse in INVERSE_STRENGTHS for share in SHARES]
+
+    def models_of(tasks: list[tuple[int, float, float]]) -> Models:
+        fold, inverse, share = map(np.array, zip(*tasks, strict=True))
+        n = np.array([total - sizes.get(k, 0) for k in fold])
+        strength = 1 / (inverse * np.maximum(n, 1))
+        return Models(fold, n, strength * share, strength * (1 - share))
+
+    tasks = [(k, *t) for k in sizes for t in tries]
+    weights, held = fit_all(rows, scale, models_of(tasks), np.zeros((len(tasks), len(features) + 1)), STEPS)
+    mean = (held.reshape(len(sizes), -1) / np.array([*sizes.values()])[:, None]).mean(0).round(12)  # sums differ in their last digits from run to run
+    best = int(mean.argmin())
+    inverse, share = tries[best]
+    start = weights.reshape(len(sizes), len(tries), -1)[:, best].mean(0, keepdims=True)
+    chosen = fit_all(rows, scale, models_of([(-1, inverse, share)]), start, STEPS)[0][0]
+    scratch.drop(rows)
+    coefficients = [float(w) for w in chosen[:-1] * scale]
+    return Regression(name, features, dict(zip(features, coefficients, strict=True)), float(chosen[-1])), inverse, share
 
 
 def apply(model: Regression, data: DataFrame) -> DataFrame:
